@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import bpe, pfor
+from orrery.llm import bpe, labelled, media, mixing, pfor, quality
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +22,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, TOKENIZER).drop("text")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select(
+        "doc_id",
+        labelled.held_out("doc_id", quality.MODULUS, quality.REMAINDER).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pfor.read_documents(pfor.write_segments(docs, TOKENIZER))
@@ -28,6 +48,41 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_mixing": op4_mixing,
+    "op5_media": op5_media,
+    "op6_quality": op6_quality,
     "op9_token_ids": op9_token_ids,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+weighed AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w
+  FROM sizes GROUP BY source),
+ordered AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER below, 0) AS remaining,
+         sum(w) OVER () - coalesce(sum(w) OVER below, 0) AS weights
+  FROM weighed
+  WINDOW below AS (ORDER BY source_size / w, w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, remaining * w > 3 * source_size * weights AS clamped FROM ordered),
+level AS (SELECT remaining AS l, weights AS lw FROM marked WHERE NOT clamped ORDER BY source_size / w, w, source NULLS FIRST LIMIT 1),
+plan AS (
+  SELECT source, source_size,
+         CASE WHEN clamped THEN (3 * source_size)::DOUBLE ELSE (w * l)::DOUBLE / lw::DOUBLE END AS target
+  FROM marked CROSS JOIN level),
+split AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM plan),
+run AS (
+  SELECT s.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS extra,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sizes s JOIN split p ON s.source IS NOT DISTINCT FROM p.source),
+taken AS (
+  SELECT *, least(whole + CASE WHEN 2 * before + size <= 2 * extra AND before < extra THEN 1 ELSE 0 END, 3)::BIGINT AS repeats FROM run)
+SELECT doc_id, source, size::BIGINT AS size, source_size, target, repeats, (repeats * size)::BIGINT AS taken FROM taken
+""",
+}
