@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import text_chunks
-from orrery.llm.labelled import held_out, sample
+from orrery.llm.labelled import logistic, sample
 
 #: Labelled texts of each class that the classifier is fitted on, at most.
 PER_CLASS = 1200
@@ -88,21 +88,6 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the most likely logistic curve, slightly shrunk; by Newton's method."""
-    scale = float(np.std(x)) or 1.0
-    design, w = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
-        grad = design.T @ (weight * (p - y)) + np.array([1e-2, 1e-3]) * w
-        hess = (design.T * (weight * p * (1 - p) + 1e-9)) @ design + np.diag([1e-2, 1e-3])
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1])
-
-
 def fit(rows: list[tuple[int, str]]) -> Model:
     """Odd rows of each class build its dictionary, even rows place the curve.
 
@@ -118,8 +103,7 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     scorer = model.scorer()
     x = np.array([scorer.evidence(t) for y in (0, 1) for t in halves[y][1]])
     y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    slope, offset = logistic(x, y, weight)
+    slope, offset = logistic(x, y)
     return Model(model.good, model.bad, slope, offset)
 
 
