@@ -21,11 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import text_chunks
-from orrery.llm.pieces import WHITE, PieceMemo, packed_ids
+from orrery.llm.pieces import PRETOKEN, PieceMemo, packed_ids
 
-_PRETOKEN = regex.compile(
-    rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-)
 KEEP_TOKENS = 400_000
 
 
@@ -93,7 +90,7 @@ class Bpe:
     def encode_plain(self, text: str) -> bytes:
         """Packed ids of a text without special tokens."""
         out, known = [], self.tokens
-        for token in _PRETOKEN.findall(text):
+        for token in PRETOKEN.findall(text):
             packed = known.get(token)
             if packed is None:
                 packed = array("I", self.merge(token.encode("utf-8"))).tobytes()

@@ -21,8 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, text_chunks
-from orrery.llm.pieces import PieceMemo, packed_ids, split_pieces
+from orrery.llm.common import materialize, text_chunks, utf8, word_hashes
 
 MAGIC, BLOCK = b"PFORIDS1", 128
 SEGMENT_IDS = 4 << 20
@@ -150,9 +149,48 @@ def unpack(image: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- encoding with the library
 
+_LETTER, _SIGN, _BREAK, _SOLID = (np.zeros(256, bool) for _ in range(4))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_BREAK[9:14] = True
+_SOLID[33:127] = True
+_SOLID[[0xC3, *range(0xC4, 0xE1), *range(0xE4, 0xF0)]] = True  # leads of no white space
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut so that each unit has the ids that it has in its text.
+
+    Cuts fall only on edges of pre-tokens: before a space that something solid follows, between
+    letters and signs (an apostrophe may join what follows it and is no sign here), and around a
+    single line break. Bytes in doubt are never cut at.
+    """
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        begin = np.zeros(n + 1, bool)
+        begin[offsets] = True
+        begin = begin[:n]
+        late = np.zeros(n, bool)  # second byte of a Latin letter
+        late[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter = _LETTER[data] | late
+        letter[:-1] |= late[1:]
+        sign, brk = _SIGN[data], _BREAK[data]
+        plain = letter | sign
+        # "previous" is nothing at a text's beginning
+        before = lambda x: np.concatenate([[False], x[:-1]]) & ~begin
+        cut[: n - 1] |= (data[:-1] == 32) & _SOLID[data[1:]] & ~begin[1:]
+        was_letter, was_sign = before(letter), before(sign)
+        cut[:n] |= was_letter & sign | was_sign & letter | (was_letter | was_sign) & brk
+        alone = brk & before(plain)
+        cut[:n] |= before(alone) & plain
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(cut[:n])
+
 
 class LibraryEncoder:
-    """The tokenizers library behind a memo of pieces; unseen pieces go to it many at a time."""
+    """The tokenizers library behind a memo of units; unseen units go to it many at a time."""
+
+    KEEP = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -160,38 +198,80 @@ class LibraryEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode("utf-8") for t in self.lib.get_added_tokens_decoder().values()]
         size = 1 + max(self.lib.get_vocab().values())
         #: bytes that each id stands for: one a character of a byte-level vocabulary
         self.bytes = np.zeros(size, np.int64)
         for token, i in self.lib.get_vocab().items():
             self.bytes[i] = len(token)
-        self.memo = PieceMemo(self.whole)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode unseen pieces as one text; they part where the ids' bytes reach a piece's end."""
-        if not pieces:
-            return
-        ids = np.array(self.lib.encode(" " + " ".join(pieces), add_special_tokens=False).ids, "<u4")
-        ends = np.cumsum([1 + len(p.encode("utf-8")) for p in pieces])
-        cut = [0, *(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()]
-        packed = ids.tobytes()
-        for i, p in enumerate(pieces):
-            self.memo[p] = packed[4 * cut[i] : 4 * cut[i + 1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        own = [any(s in t for s in self.special) for t in texts]
-        new = {p for t, o in zip(texts, own, strict=True) if not o for p in split_pieces(t)[1:]}
-        new = [p for p in new if p not in self.memo]
-        if len(self.memo) + len(new) > 400_000:
-            self.memo.clear()
-            new = list({p for t, o in zip(texts, own, strict=True) if not o for p in split_pieces(t)[1:]})
-        self.learn(new)
-        out = [self.whole(t) if o else packed_ids(t, self.memo) for t, o in zip(texts, own, strict=True)]
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[int, int] = {}  # hash of a unit -> its place in begin
+        self.begin = np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.n = self.used = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32) if text else np.zeros(0, np.uint32)
+
+    def _keep(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(lengths) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[self.n : self.n + len(lengths) + 1] = self.used + np.concatenate([[0], np.cumsum(lengths)])
+        self.index.update(zip(hashes, range(self.n, self.n + len(hashes)), strict=True))
+        self.n, self.used = self.n + len(lengths), self.used + len(ids)
+
+    def learn(self, hashes: list[int], units: list[str]) -> None:
+        """Ids of unseen units. Those that begin with their only space are put one after the other
+        into one text for the library, those without white space behind a line feed; they part
+        where the bytes of its ids reach a unit's end. Others are encoded one by one."""
+        many, some = [], []
+        for h, u in zip(hashes, units, strict=True):
+            (many if len(u.split()) == 1 and not u[-1].isspace() and (not u[0].isspace() or u[0] == " " != u[1] and not u[1].isspace()) else some).append((h, u))
+        if many:
+            spaced = [u if u[0] == " " else "\n" + u for _, u in many]
+            ids = self.whole("".join(spaced))
+            ends = np.cumsum([len(u.encode("utf-8")) for u in spaced])
+            at = np.concatenate([[0], np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1])
+            first = at[:-1] + np.array([u[0] != " " for _, u in many])
+            lead = np.ones(len(ids), bool)
+            lead[at[:-1][first != at[:-1]]] = False
+            self._keep([h for h, _ in many], ids[lead], at[1:] - first)
+        for h, u in some:
+            ids = self.whole(u)
+            self._keep([h], ids, np.array([len(ids)]))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (their bytes and n + 1 offsets), and how many each has."""
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            ids = [self.whole(raw[a:b].decode("utf-8")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
+        if not raw:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        starts = unit_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        unique, first, inverse = np.unique(word_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        found = list(map(self.index.get, keys))
+        if None in found:
+            new = [i for i, x in enumerate(found) if x is None]
+            if self.n + len(new) > self.KEEP:
+                self.forget()
+                new = range(len(keys))
+            s, e = starts[first].tolist(), ends[first].tolist()
+            self.learn([keys[i] for i in new], [raw[s[i] : e[i]].decode("utf-8") for i in new])
+            found = list(map(self.index.get, keys))
+        place = np.array(found)[inverse]
+        begin, count = self.begin[place], self.begin[place + 1] - self.begin[place]
+        total = np.cumsum(count)
+        ids = self.ids[np.repeat(begin - total + count, count) + np.arange(total[-1])]
+        upto = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
+        return ids, np.diff(upto)
 
 
 @cache
@@ -214,12 +294,11 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = library(tokenizer), TaskContext.get().partitionId()
-        end = struct.pack("<I", end_id)
-        keys, parts, held, segment, base = [], [], 0, 0, 0
+        keys, parts, counts, held, segment, base = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            image = pack(ids, np.array([len(p) // 4 for p in parts], np.int64))
+            ids = np.concatenate(parts)
+            image = pack(ids, np.concatenate(counts))
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([base], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([image], pa.binary())],
                 ["shard", "segment", "base", "n_ids", "keys", "image"],
@@ -228,14 +307,18 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str =
         for batch in batches:
             for a, b in text_chunks(batch, "t"):
                 part = batch.slice(a, b - a)
-                texts = [x or "" for x in part.column("t").to_pylist()]
-                for k, packed in zip(part.column("k").to_pylist(), encoder.encode(texts), strict=True):
-                    keys.append(k)
-                    parts.append(packed + end)
-                    held += len(packed) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield flush()
-                        segment, base, held, keys, parts = segment + 1, base + held, 0, [], []
+                ids, count = encoder.encode(*utf8(part.column("t")))
+                with_end = np.full(len(ids) + len(count), end_id, np.uint32)
+                kept = np.ones(len(with_end), bool)
+                kept[np.cumsum(count + 1) - 1] = False
+                with_end[kept] = ids
+                keys += part.column("k").to_pylist()
+                parts.append(with_end)
+                counts.append(count + 1)
+                held += len(with_end)
+                if held >= SEGMENT_IDS:
+                    yield flush()
+                    segment, base, held, keys, parts, counts = segment + 1, base + held, 0, [], [], []
         if parts:
             yield flush()
 
