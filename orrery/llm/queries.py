@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, labelled, media, mixing, pfor, quality, toxicity
+from orrery.llm import bpe, labelled, media, mixing, near_text, pfor, quality, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,6 +52,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pfor.read_documents(pfor.write_segments(docs, TOKENIZER))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
     "op6_quality": op6_quality,
+    "op7_minhash": op7_minhash,
     "op9_token_ids": op9_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {
