@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, labelled, media, mixing, near_text, pfor, quality, toxicity
+from orrery.llm import bpe, labelled, media, mixing, near_text, pfor, quality, suffixes, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -61,6 +61,10 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_documents(pfor.write_segments(docs, TOKENIZER))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
     "op9_token_ids": op9_token_ids,
+    "op10_suffix_array": op10_suffix_array,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": r"""
