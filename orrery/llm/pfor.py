@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, text_chunks, utf8, word_hashes
+from orrery.llm.common import CHUNK_BYTES, materialize, text_chunks, utf8, word_hashes
 
 MAGIC, BLOCK = b"PFORIDS1", 128
 SEGMENT_IDS = 4 << 20
@@ -154,6 +154,8 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 _BREAK[9:14] = True
 _SOLID[33:127] = True
+_DOUBT = np.zeros(256, bool)  # white space, or the lead of a character that may be
+_DOUBT[[*range(9, 14), 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _SOLID[[0xC3, *range(0xC4, 0xE1), *range(0xE4, 0xF0)]] = True  # leads of no white space
 
 
@@ -190,7 +192,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class LibraryEncoder:
     """The tokenizers library behind a memo of units; unseen units go to it many at a time."""
 
-    KEEP = 1_200_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -225,25 +227,27 @@ class LibraryEncoder:
         self.index.update(zip(hashes, range(self.n, self.n + len(hashes)), strict=True))
         self.n, self.used = self.n + len(lengths), self.used + len(ids)
 
-    def learn(self, hashes: list[int], units: list[str]) -> None:
-        """Ids of unseen units. Those that begin with their only space are put one after the other
-        into one text for the library, those without white space behind a line feed; they part
-        where the bytes of its ids reach a unit's end. Others are encoded one by one."""
-        many, some = [], []
-        for h, u in zip(hashes, units, strict=True):
-            (many if len(u.split()) == 1 and not u[-1].isspace() and (not u[0].isspace() or u[0] == " " != u[1] and not u[1].isspace()) else some).append((h, u))
-        if many:
-            spaced = [u if u[0] == " " else "\n" + u for _, u in many]
-            ids = self.whole("".join(spaced))
-            ends = np.cumsum([len(u.encode("utf-8")) for u in spaced])
+    def learn(self, hashes: list[int], raw: bytes, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        """Ids of unseen units. Those without white space, but for one space in front, are put one
+        after the other into one text for the library, behind a line feed where they have no space;
+        they part where the bytes of its ids reach a unit's end. Others are encoded one by one."""
+        blank = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(_DOUBT[data], out=blank[1:])
+        spaced = (data[s] == 32) & (e - s > 1)
+        many = blank[e] == blank[s + spaced]
+        rows = np.flatnonzero(many)
+        if len(rows):
+            lead = ~spaced[rows]
+            ends = np.cumsum(e[rows] - s[rows] + lead)
+            text = b"".join([raw[x:y] if z else b"\n" + raw[x:y] for x, y, z in zip(s[rows].tolist(), e[rows].tolist(), spaced[rows].tolist(), strict=True)])
+            ids = self.whole(text.decode("utf-8"))
             at = np.concatenate([[0], np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1])
-            first = at[:-1] + np.array([u[0] != " " for _, u in many])
-            lead = np.ones(len(ids), bool)
-            lead[at[:-1][first != at[:-1]]] = False
-            self._keep([h for h, _ in many], ids[lead], at[1:] - first)
-        for h, u in some:
-            ids = self.whole(u)
-            self._keep([h], ids, np.array([len(ids)]))
+            kept = np.ones(len(ids), bool)
+            kept[at[:-1][lead]] = False
+            self._keep([hashes[i] for i in rows.tolist()], ids[kept], np.diff(at) - lead)
+        for i in np.flatnonzero(~many).tolist():
+            ids = self.whole(raw[s[i] : e[i]].decode("utf-8"))
+            self._keep([hashes[i]], ids, np.array([len(ids)]))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts (their bytes and n + 1 offsets), and how many each has."""
@@ -263,8 +267,8 @@ class LibraryEncoder:
             if self.n + len(new) > self.KEEP:
                 self.forget()
                 new = range(len(keys))
-            s, e = starts[first].tolist(), ends[first].tolist()
-            self.learn([keys[i] for i in new], [raw[s[i] : e[i]].decode("utf-8") for i in new])
+            at = first[np.array(new)]
+            self.learn([keys[i] for i in new], raw, data, starts[at], ends[at])
             found = list(map(self.index.get, keys))
         place = np.array(found)[inverse]
         begin, count = self.begin[place], self.begin[place + 1] - self.begin[place]
@@ -305,7 +309,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str =
             )
 
         for batch in batches:
-            for a, b in text_chunks(batch, "t"):
+            for a, b in text_chunks(batch, "t", 2 * CHUNK_BYTES):
                 part = batch.slice(a, b - a)
                 ids, count = encoder.encode(*utf8(part.column("t")))
                 with_end = np.full(len(ids) + len(count), end_id, np.uint32)
