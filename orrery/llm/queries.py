@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, labelled, media, mixing, near_text, near_vectors, pfor, quality, suffixes, toxicity
+from orrery.llm import bpe, chat, labelled, media, mixing, near_text, near_vectors, pfor, quality, suffixes, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,6 +60,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pfor.read_documents(pfor.write_segments(docs, TOKENIZER))
@@ -77,10 +81,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
+    "op8_chat_rotation": op8_chat_rotation,
     "op9_token_ids": op9_token_ids,
     "op10_suffix_array": op10_suffix_array,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op8_chat_rotation": r"""
+WITH placed AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM placed WHERE speaker <> 'system'),
+segments AS (
+  SELECT p.conv_id, q.perspective, p.place // 64 AS part, p.place, coalesce(p.speaker = q.perspective, false) AS own,
+         '<|im_start|>' || CASE WHEN p.speaker = q.perspective THEN 'assistant' WHEN p.speaker = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(p.speaker, '\s', '_', 'g') END || chr(10) AS lead,
+         replace(replace(p.content, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' AS body
+  FROM placed p LEFT JOIN people q ON p.conv_id = q.conv_id),
+run AS (
+  SELECT *, sum(length(lead) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY place) AS upto FROM segments)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(lead || body || chr(10), '' ORDER BY place) AS rendered,
+       coalesce(string_agg(CASE WHEN own THEN (upto - 1 - length(body))::BIGINT || '-' || (upto - 1)::BIGINT END, ',' ORDER BY place), '') AS loss_spans,
+       sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS loss_chars
+FROM run GROUP BY conv_id, perspective, part
+""",
     "op4_mixing": r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
