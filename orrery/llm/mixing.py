@@ -75,15 +75,15 @@ def _digits(rows: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(rows / BUCKET_ROWS) / 4)).cast("int")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, repeats, taken`` of every row of ``docs``.
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, repeats, taken`` of every row of ``docs``, and its columns ``keep``.
 
     ``taken = repeats * size`` words, ``repeats`` at most ``max_epochs``. The order within a
     source is that of ``md5(seed:key)``, then the key, then the size; a null key counts as empty text. A source's
     taken words miss its target by at most half of one document. Null texts have size 0; a source
     without words has target 0. Repeated rows are taken each for itself. Empty in, empty out.
     """
-    rows = word_counts(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")))
+    rows = word_counts(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), *keep))
     rows = materialize(rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sizes")
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     plan = targets(rows).withColumn("digits", _digits(F.col("n_rows")))
@@ -107,4 +107,18 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     at = at.withColumn("cum", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = at.withColumn("repeats", taken(F.when(2 * F.col("cum") + F.col("size") <= 2 * F.col("extra"), 1).otherwise(0))).drop("cum")
     both = away.unionByName(at)
-    return both.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("repeats"), F.lit(max_epochs)).cast("long").alias("repeats")).withColumn("taken", F.col("repeats") * F.col("size"))
+    return both.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("repeats"), F.lit(max_epochs)).cast("long").alias("repeats"), *keep).withColumn("taken", F.col("repeats") * F.col("size"))
+
+
+def repeat_rows(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``docs`` as mixed: every row as often as ``mix`` takes it, rows that it does not take left out.
+
+    Equal rows are taken together: as many of them come out as ``mix`` takes of all of them.
+    """
+    names = docs.columns
+    keyed = docs.withColumn("__th", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    times = mix(keyed, key, source, text, max_epochs, seed, ("__th",)).groupBy("doc_id", "__th").agg(F.sum("repeats").alias("__times")).where("__times > 0")
+    times = times.withColumnsRenamed({"doc_id": "__id", "__th": "__h"})
+    one = keyed.dropDuplicates([key, "__th"])
+    joined = one.join(times, one[key].cast("long").eqNullSafe(F.col("__id")) & (one["__th"] == F.col("__h")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])

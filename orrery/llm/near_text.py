@@ -314,3 +314,20 @@ def _label(signed: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(by_class, ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of every component of ``near_duplicates``: that of the smallest id.
+
+    Of rows with one key one stays, that of the least text hash; rows without a key all stay.
+    """
+    names = docs.columns
+    found = materialize(near_duplicates(docs, k, percent, key, text), "near-duplicates")
+    out = docs.join(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), F.col(f"`{key}`").cast("long") == F.col("__id"), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    if again.isEmpty():
+        return out
+    many = out.join(again, F.col(f"`{key}`").cast("long") == F.col("__id"), "left_semi").withColumn("__h", F.xxhash64(F.col(f"`{text}`")))
+    least = many.groupBy(F.col(f"`{key}`").alias("__id")).agg(F.min("__h").alias("__least"))
+    many = many.join(least, F.col(f"`{key}`") == F.col("__id")).where("__h <=> __least").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in names])
+    return out.join(again, F.col(f"`{key}`").cast("long") == F.col("__id"), "left_anti").unionByName(many)
