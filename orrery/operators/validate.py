@@ -139,7 +139,7 @@ def audit(raw: DataFrame, batch: list[str], place_names: DataFrame | None = None
     counts = checked.groupBy(*batch).agg(
         F.count("*").alias("raw_triple_count"),
         F.count_if(~F.col("is_object")).alias("non_dict_triple_count"),
-        F.count_if(missing).alias("missing_key_triple_count"),
+        F.count_if("__missing").alias("missing_key_triple_count"),
         F.count_if(malformed).alias("malformed_triple_count"),
         F.count_if(rejected).alias("ontology_rejected_triple_count"),
         F.count_if(usable & (F.size("issues") == 0)).alias("kept_triple_count"),
