@@ -70,12 +70,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, s, e, np.searchsorted(s, offsets)
 
 
-def char_rows(data: np.ndarray) -> np.ndarray:
-    """Row of the character table for the five bytes that end at each byte; a word's edge is 0."""
+def char_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Row of the character table for the five bytes that end at each byte; what is no part of a
+    word, or stands before the text, is 0."""
+    begin = offsets[:-1][offsets[:-1] < len(data)]
     code = np.where(_IS_WORD[data], data, 0).astype(np.uint64)
     out, back = code.copy(), code
     for _ in range(4):
         back = np.concatenate([np.zeros(1, np.uint64), back[:-1]])
+        back[begin] = 0
         out = out * np.uint64(0x100000001B3) + back
     return (mix64(out) % np.uint64(CHAR_ROWS)).astype(np.int64)
 
@@ -182,9 +185,9 @@ class Model:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, at + 1, 0)
 
-    def char_means(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def char_means(self, data: np.ndarray, offsets: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         run = np.zeros((len(data) + 1, CHAR_DIM))
-        np.cumsum(self.p["char"][char_rows(data)], axis=0, out=run[1:], dtype=np.float64)
+        np.cumsum(self.p["char"][char_rows(data, offsets)], axis=0, out=run[1:], dtype=np.float64)
         return ((run[e] - run[s]) / (e - s)[:, None]).astype(np.float32)
 
     # ------------------------------------------------ scoring
@@ -196,7 +199,7 @@ class Model:
         if not self.p:
             return np.zeros(len(first), np.float32), n
         p, ids = self.p, self.ids(word_hashes(data, s, e, False))
-        chars = self.char_means(data, s, e)
+        chars = self.char_means(data, texts[1], s, e)
         joint = np.concatenate([p["Wf"], p["Wb"]], axis=1)
         bias = np.concatenate([p["bf"], p["bb"]])
         by_word = p["word"] @ joint[:WORD_DIM] + bias
@@ -244,39 +247,42 @@ def fit(rows: list[tuple[int, str]], seed: int = 7, epochs: int = 8) -> Model:
     aside = [r for r, out in zip(rows, place, strict=True) if out] or rows
     rows, y = [r for r, out in zip(rows, place, strict=True) if not out], y[~place]
     rng = np.random.default_rng(seed)
-    data, s, e, at = words(*_column([t for _, t in rows]))
-    hashes = word_hashes(data, s, e, False)
-    doc = np.repeat(np.arange(len(y)), np.diff(at))
+    parts = []  # a hundred texts at a time, to bound what the driver holds
+    for i in range(0, len(rows), 100):
+        column = _column([t for _, t in rows[i : i + 100]])
+        d, ws, we, wa = words(*column)
+        parts.append((d, ws, we, np.diff(wa), word_hashes(d, ws, we, False), char_rows(d, column[1]).astype(np.uint16)))
+    shift = np.cumsum([0, *[len(x[0]) for x in parts]])
+    data, s, e = np.concatenate([x[0] for x in parts]), *(np.concatenate([x[k] + z for x, z in zip(parts, shift, strict=False)]) for k in (1, 2))
+    at, hashes, pairs = np.concatenate([[0], np.cumsum(np.concatenate([x[3] for x in parts]))]), np.concatenate([x[4] for x in parts]), np.concatenate([x[5] for x in parts])
+    del parts
 
     # words and runs of characters by the number of toxic and of clean texts that have them
-    pairs = char_rows(data)
     n_toxic, n_clean = max(1, int(y.sum())), max(1, int((y == 0).sum()))
 
-    def lifts(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, texts that have them, log ratio of their shares (0 where it says little)."""
-        order = np.lexsort((owner, keys))
-        k, d = keys[order], owner[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, bool)
-        found, index = np.unique(k[new], return_inverse=True)
-        toxic = y[d[new]] == 1
-        bad, good = np.bincount(index[toxic], minlength=len(found)), np.bincount(index[~toxic], minlength=len(found))
+    def lifts(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Log ratio of the shares of toxic and of clean texts, 0 where it says little."""
         lift = np.log((bad + 0.5) / (n_toxic + 1)) - np.log((good + 0.5) / (n_clean + 1))
-        return found, bad + good, np.where((bad >= max(2, int(0.005 * n_toxic))) & (lift > np.log(6)), lift, 0.0)
-
-    vocabulary, texts_with, lift = lifts(hashes, doc)
+        return np.where((bad >= max(2, int(0.005 * n_toxic))) & (lift > np.log(6)), lift, 0.0)
+
+    vocabulary, index = np.unique(hashes, return_inverse=True)
+    by_word, by_row = np.zeros((2, len(vocabulary)), np.int64), np.zeros((2, CHAR_ROWS), np.int64)
+    for r in range(len(y)):
+        i, j = at[r], at[r + 1]
+        if i < j:
+            by_word[y[r], np.unique(index[i:j])] += 1
+            span = slice(s[i], e[j - 1])
+            by_row[y[r], np.unique(pairs[span][_IS_WORD[data[span]]])] += 1
+    lift, table = lifts(by_word[1], by_word[0]), lifts(by_row[1], by_row[0])
+    texts_with = by_word.sum(axis=0)
     kept = np.flatnonzero(texts_with >= max(2, int(0.004 * len(y))))
     kept = kept[np.argsort(-texts_with[kept], kind="stable")[:VOCABULARY]]
     model = Model(known=np.sort(vocabulary[kept]))
-    hint = lift[np.searchsorted(vocabulary, hashes)] if len(hashes) else np.zeros(0)
-    inside_word = np.zeros(len(data) + 1, np.int64)
-    inside_word[s] = 1
-    word_of = np.cumsum(inside_word)[:-1] - 1
-    letter = np.flatnonzero(_IS_WORD[data])
-    rows_found, _, row_lift = lifts(pairs[letter], doc[word_of[letter]])
-    table = np.zeros(CHAR_ROWS)
-    table[rows_found] = row_lift
-    if len(letter):
-        hint = np.maximum(hint, np.maximum.reduceat(table[pairs[letter]], np.searchsorted(word_of[letter], np.arange(len(hashes)))))
+    hint = lift[index] if len(hashes) else np.zeros(0)
+    for i in range(0, len(hashes), 100_000):  # a word's telling run of characters, at the most
+        lo, hi = s[i : i + 100_000], e[i : i + 100_000]
+        best = np.maximum.reduceat(np.append(table[pairs[lo[0] : hi[-1]]], 0.0), np.column_stack([lo, hi]).ravel() - lo[0])[::2]
+        hint[i : i + 100_000] = np.maximum(hint[i : i + 100_000], best)
 
     # windows: those of toxic texts that hold telling words, any of clean texts
     first, n = window_starts(np.diff(at))
@@ -301,11 +307,10 @@ def fit(rows: list[tuple[int, str]], seed: int = 7, epochs: int = 8) -> Model:
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
     step, three = 0, 3 * HIDDEN
     epochs = max(epochs, min(80, 600 // max(1, (len(positive) + len(negative)) // 256)))
-    texts = _column([t for _, t in rows])
     for epoch in range(epochs):
         if epoch == epochs // 2:
             # windows of clean texts that the network so far takes for toxic ones
-            z = model.logits(texts)[0]
+            z = np.concatenate([model.logits(_column([t for _, t in rows[i : i + 100]]))[0] for i in range(0, len(rows), 100)])
             clean = np.flatnonzero(y[owner] == 0)
             negative = np.unique(np.concatenate([negative, clean[np.argsort(-z[clean], kind="stable")[: cap // 2]]]))
         chosen, target = np.concatenate([positive, negative]), np.repeat([1.0, 0.0], [len(positive), len(negative)]).astype(np.float32)
