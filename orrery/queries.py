@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from orrery import projection
 from orrery.functions import text
-from orrery.operators import evaluate, graph as graphs, prepare, router, validate
-from orrery.operators.places import company_matches
+from orrery.operators import evaluate, prepare, router, validate
+from orrery.operators import graph as graphs
+from orrery.operators.places import company_matches, normalize_place
 from orrery.plans import execute
+from orrery.sources import runs
 from orrery.sources import triples as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,7 +359,12 @@ def eval_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.exact(*_sides(spark, sf_dir), ["company"]), "precision", "recall", "f1")
 
 
-@query()
+@query(_SIDES + """, offered AS (SELECT company, s, o FROM gold WHERE relation = 'OFFERS' UNION SELECT company, s, o FROM pred WHERE relation = 'OFFERS'),
+alike AS (SELECT DISTINCT a.company, a.s AS x, b.s AS y FROM offered a JOIN offered b ON a.company = b.company AND a.o = b.o),
+pairs AS (SELECT g.company, g.relation, CASE WHEN g.s = p.s AND g.o = p.o THEN 'exact' WHEN g.relation <> 'HAS_SEGMENT' AND g.o = p.o THEN 'subject_segment_rollup'
+    WHEN g.relation = 'HAS_SEGMENT' AND (g.company, g.o, p.o) IN (SELECT (company, x, y) FROM alike) THEN 'segment_rollup' END AS reason
+  FROM gold g JOIN pred p ON g.company = p.company AND g.relation = p.relation)
+SELECT company, relation, reason, count(*) AS pairs, sum(CASE reason WHEN 'exact' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS weight FROM pairs WHERE reason IS NOT NULL GROUP BY ALL""")
 def eval_relaxed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = evaluate.candidates(*_sides(spark, sf_dir), ["company"])
     return pairs.groupBy("company", "relation", "reason").agg(F.count("*").alias("pairs"), F.sum("weight").alias("weight"))
@@ -504,3 +511,69 @@ def triple_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relation_subset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     return validate.merge_relations(raw.where("idx % 7 <> 0"), raw.where("idx % 5 <> 0"), ["OFFERS"]).select(*validate.FIELDS)
+
+
+# ------------------------------------------------------------------ helpers with data
+
+
+@query("SELECT doc_id, length(text) AS content_length, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '(\\r\\n|[\\n\\r])$', ''), chr(10))) END AS line_count FROM documents")
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.table(spark, sf_dir, "documents").select("doc_id", *runs.text_stats(F.col("text")))
+
+
+@query("SELECT event_id, json(props)::VARCHAR AS compact FROM events")
+def compact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.table(spark, sf_dir, "events").select("event_id", runs.compact_json(F.col("props")).alias("compact"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_name || ' ' || p_type), lower(p_type)) THEN 0 ELSE 1 END
+  + CASE WHEN contains(lower(p_name || ' ' || p_type), lower(p_brand)) THEN 0 ELSE 1 END AS ungrounded FROM part""")
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = projection.table(spark, sf_dir, "part")
+    triples = part.select("p_partkey", "p_name", "p_type", F.col("p_type").alias("subject"), F.lit("BusinessSegment").alias("subject_type"), F.lit("OFFERS").alias("relation"), F.col("p_brand").alias("object"), F.lit("Offering").alias("object_type"))
+    out = validate.validate_each(triples, source=F.concat_ws(" ", "p_name", "p_type"))
+    return out.select("p_partkey", F.size(F.filter("issues", lambda i: i["code"] == "not_grounded_in_text")).alias("ungrounded"))
+
+
+@query("SELECT c_custkey, n_name AS place, true AS place_known FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = projection.table(spark, sf_dir, "customer").join(projection.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = rows.select("c_custkey", F.concat(F.lit(" '"), F.lower("n_name"), F.lit("' ")).alias("asked"))
+    return normalize_place(named, "asked", projection.places(spark, sf_dir).names(spark), "place").select("c_custkey", "place", "place_known")
+
+
+@query("SELECT s_name AS company, s_suppkey % 3 > 0 AS has_outputs, s_suppkey % 2 = 0 AS is_loaded FROM supplier WHERE s_suppkey % 3 > 0 OR s_suppkey % 2 = 0")
+def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = projection.table(spark, sf_dir, "supplier").withColumnRenamed("s_name", "company")
+    return runs.status_report(s.where("s_suppkey % 3 > 0"), s.where("s_suppkey % 2 = 0"))
+
+
+@query("SELECT conv_id, turn, regexp_matches(text, '\\b(CREATE|MERGE|DELETE|DETACH|DROP|SET|REMOVE|CALL|LOAD\\s+CSV)\\b', 'i') AS writes FROM conversations")
+def read_only_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(router.forbidden_clauses(F.col("text"))) > 0).alias("writes"))
+
+
+@query(_TWO + " SELECT relation, s, count(*) AS n FROM (SELECT relation, lower(subject) AS s FROM raw WHERE idx % 7 <> 0 EXCEPT ALL SELECT relation, lower(subject) FROM raw WHERE idx % 5 <> 0) GROUP BY 1, 2")
+def row_multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw(spark, sf_dir).select("relation", F.lower("subject").alias("s"), "idx")
+    rest = raw.where("idx % 7 <> 0").drop("idx").exceptAll(raw.where("idx % 5 <> 0").drop("idx"))
+    return rest.groupBy("relation", "s").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id % 3 AS family, count(*) AS rows, round(avg((quality = 1)::INT), 9) AS contract_rate, round(avg((toxic = 0)::INT), 9) AS correct_output_rate FROM labels GROUP BY 1")
+def planner_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = projection.table(spark, sf_dir, "labels").select((F.col("doc_id") % 3).alias("family"), (F.col("quality") == 1).alias("contract"), (F.col("toxic") == 0).alias("correct_output"))
+    return _rounded(prepare.planner_metrics(flags), "contract_rate", "correct_output_rate")
+
+
+@query("""WITH l AS (SELECT n_chars % 700 AS prompt, n_chars % 90 AS completion FROM documents)
+SELECT count(*) AS rows, max(prompt + completion) AS max_full, max(prompt) AS max_prompt, max(completion) AS max_completion, count(*) FILTER (least(prompt + completion, 512) <= prompt) AS prompt_fills_window FROM l""")
+def token_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = projection.table(spark, sf_dir, "documents").select((F.col("n_chars") % 700).alias("prompt"), (F.col("n_chars") % 90).alias("completion"))
+    return prepare.token_preflight(d, 512)
+
+
+@query("SELECT conv_id, turn, '[{\"role\":\"system\",\"content\":\"Plan.\"},{\"role\":\"user\",\"content\":\"' || role || '\"},{\"role\":\"assistant\",\"content\":\"' || turn || '\"}]' AS messages FROM conversations")
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = projection.table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.to_json(prepare.chat_messages(F.lit("Plan."), F.col("role"), F.col("turn").cast("string"))).alias("messages"))
