@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.graph import Graph, build_edges
@@ -24,43 +26,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``company_name, subject, subject_type, relation, object, object_type``, repeated as found."""
     t = lambda name: table(spark, sf_dir, name)
+    c = F.col
     line, supplier = t("lineitem"), t("supplier").select("s_suppkey", "s_name", "s_nationkey")
-    fact = (
-        line.where(F.col("l_quantity") >= QUANTITY)
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("part").select("p_partkey", "p_type", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    made = (
+        line.where(c("l_quantity") >= QUANTITY)
+        .join(supplier, c("l_suppkey") == c("s_suppkey"))
+        .join(t("part").select("p_partkey", "p_type", "p_brand", "p_name"), c("l_partkey") == c("p_partkey"))
     )
+    sold = made.join(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), c("l_orderkey") == c("o_orderkey"))
+    served = sold.join(t("customer").select("c_custkey", "c_mktsegment"), c("o_custkey") == c("c_custkey"))
     child = F.concat_ws(" ", "p_brand", "p_name")
-    leaf = F.concat(child, F.lit(" #"), F.col("p_partkey").cast("string"))
+    leaf = F.concat(child, F.lit(" #"), c("p_partkey").cast("string"))
 
-    def row(subject, subject_type: str, relation: str, object_, object_type: str):
-        return F.struct(subject.alias("subject"), F.lit(subject_type).alias("subject_type"), F.lit(relation).alias("relation"), object_.alias("object"), F.lit(object_type).alias("object_type"))
+    def rows(facts: DataFrame, subject: Column, subject_type: str, relation: str, object_: Column, object_type: str) -> DataFrame:
+        return facts.select(
+            c("s_name").alias("company_name"),
+            subject.alias("subject"),
+            F.lit(subject_type).alias("subject_type"),
+            F.lit(relation).alias("relation"),
+            object_.alias("object"),
+            F.lit(object_type).alias("object_type"),
+        )
 
-    c = F.col
-    every = F.array(
-        row(c("s_name"), "Company", "HAS_SEGMENT", c("p_type"), "BusinessSegment"),
-        row(c("p_type"), "BusinessSegment", "OFFERS", c("p_brand"), "Offering"),
-        row(c("p_brand"), "Offering", "OFFERS", child, "Offering"),
-        row(child, "Offering", "OFFERS", leaf, "Offering"),
-        row(c("p_type"), "BusinessSegment", "SERVES", c("c_mktsegment"), "CustomerType"),
-        row(c("p_type"), "BusinessSegment", "SELLS_THROUGH", c("o_orderpriority"), "Channel"),
-        row(c("p_brand"), "Offering", "MONETIZES_VIA", F.concat("l_returnflag", "l_linestatus"), "RevenueModel"),
-    )
-    own = fact.select(c("s_name").alias("company_name"), F.explode(every).alias("t")).select("company_name", "t.*")
+    # one branch a relation: a filter on the relation leaves that branch alone, and its joins
     nation = t("nation").join(F.broadcast(t("region")), c("n_regionkey") == c("r_regionkey"))
     place = F.when(c("s_suppkey") % 13 == 0, F.lit("WORLD")).when(c("s_suppkey") % 7 == 0, c("r_name")).otherwise(c("n_name"))
-    operates = supplier.join(F.broadcast(nation), c("s_nationkey") == c("n_nationkey")).select(c("s_name").alias("company_name"), row(c("s_name"), "Company", "OPERATES_IN", place, "Place").alias("t"))
-    first = line.where("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("a"))
-    second = line.where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("b"))
+    first = line.where("l_linenumber = 1").select("l_orderkey", c("l_suppkey").alias("a"))
+    second = line.where("l_linenumber = 2").select("l_orderkey", c("l_suppkey").alias("b"))
     names = supplier.select("s_suppkey", "s_name")
-    partner = (
-        first.join(second, "l_orderkey").where("a <> b").select("a", "b").distinct()
-        .join(names.toDF("a", "s_name"), "a").join(names.toDF("b", "partner"), "b")
-        .select(c("s_name").alias("company_name"), row(c("s_name"), "Company", "PARTNERS_WITH", c("partner"), "Company").alias("t"))
-    )
-    return own.unionByName(operates.select("company_name", "t.*")).unionByName(partner.select("company_name", "t.*"))
+    together = first.join(second, "l_orderkey").where("a <> b").select("a", "b").distinct()
+    branches = [
+        rows(made, c("s_name"), "Company", "HAS_SEGMENT", c("p_type"), "BusinessSegment"),
+        rows(made, c("p_type"), "BusinessSegment", "OFFERS", c("p_brand"), "Offering"),
+        rows(made, c("p_brand"), "Offering", "OFFERS", child, "Offering"),
+        rows(made, child, "Offering", "OFFERS", leaf, "Offering"),
+        rows(served, c("p_type"), "BusinessSegment", "SERVES", c("c_mktsegment"), "CustomerType"),
+        rows(sold, c("p_type"), "BusinessSegment", "SELLS_THROUGH", c("o_orderpriority"), "Channel"),
+        rows(made, c("p_brand"), "Offering", "MONETIZES_VIA", F.concat("l_returnflag", "l_linestatus"), "RevenueModel"),
+        rows(supplier.join(F.broadcast(nation), c("s_nationkey") == c("n_nationkey")), c("s_name"), "Company", "OPERATES_IN", place, "Place"),
+        rows(together.join(names.toDF("a", "s_name"), "a").join(names.toDF("b", "partner"), "b"), c("s_name"), "Company", "PARTNERS_WITH", c("partner"), "Company"),
+    ]
+    return reduce(DataFrame.unionByName, branches)
 
 
 def places(spark: SparkSession, sf_dir: str) -> Places:

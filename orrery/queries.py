@@ -21,16 +21,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: The projection's relations.
 BASE = """
 WITH RECURSIVE fact AS (
-  SELECT s_name, p_type, p_brand, p_name, p_partkey, c_mktsegment, o_orderpriority, l_returnflag, l_linestatus
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 50),
+  SELECT s_name, p_type, p_brand, p_name, p_partkey, l_orderkey, l_returnflag, l_linestatus
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50),
 has_segment AS (SELECT DISTINCT s_name AS company, p_type AS segment FROM fact),
 roots AS (SELECT DISTINCT s_name AS company, p_type AS segment, p_brand AS offering FROM fact),
 child AS (
   SELECT DISTINCT s_name AS company, p_brand AS parent, p_brand || ' ' || p_name AS child FROM fact
   UNION SELECT DISTINCT s_name, p_brand || ' ' || p_name, p_brand || ' ' || p_name || ' #' || p_partkey FROM fact),
-serves AS (SELECT DISTINCT s_name AS company, p_type AS segment, c_mktsegment AS customer_type FROM fact),
-sells AS (SELECT DISTINCT s_name AS company, p_type AS segment, o_orderpriority AS channel FROM fact),
+serves AS (SELECT DISTINCT s_name AS company, p_type AS segment, c_mktsegment AS customer_type FROM fact JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+sells AS (SELECT DISTINCT s_name AS company, p_type AS segment, o_orderpriority AS channel FROM fact JOIN orders ON l_orderkey = o_orderkey),
 monetizes AS (SELECT DISTINCT s_name AS company, p_brand AS offering, l_returnflag || l_linestatus AS revenue_model FROM fact),
 operates AS (
   SELECT s_name AS company, CASE WHEN s_suppkey % 13 = 0 THEN 'WORLD' WHEN s_suppkey % 7 = 0 THEN r_name ELSE n_name END AS place
