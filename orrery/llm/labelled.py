@@ -35,11 +35,13 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, fl
     return float(w[0] / scale), float(w[1] - w[0] * centre / scale)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int, key: str = "doc_id", text: str = "text") -> list[tuple[int, str]]:
-    """``(label, whole text)`` of at most ``per_class`` labelled rows of each class, none held out.
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int | tuple[int, int], key: str = "doc_id", text: str = "text") -> list[tuple[int, str]]:
+    """``(label, whole text)`` of at most ``per_class`` labelled rows of each class (one bound, or one for
+    label 0 and one for label 1), none held out.
 
     The rows are those with the least hashes of their key: the same on every run and at every
-    size of cluster. At most ``2 * per_class`` keys are broadcast and as many texts collected.
+    size of cluster. At most one and a half times the bounds' sum of keys are broadcast, and as many texts as the bounds
+    say are collected.
     """
     known = (
         labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y"))
@@ -50,12 +52,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     )
     found = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null")
     out = []
-    for y in (0, 1):
+    for y, most in enumerate((per_class, per_class) if isinstance(per_class, int) else per_class):
         # half as many again, since a label may lack its document
-        ids = [r["k"] for r in known.where(F.col("y") == y).orderBy("h", "k").limit(per_class * 3 // 2).select("k").collect()]
+        ids = [r["k"] for r in known.where(F.col("y") == y).orderBy("h", "k").limit(most * 3 // 2).select("k").collect()]
         if not ids:
             continue
         wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "k long"))
-        rows = found.join(wanted, "k").withColumn("h", F.xxhash64("k")).orderBy("h", "k", "t").limit(per_class).collect()
+        rows = found.join(wanted, "k").withColumn("h", F.xxhash64("k")).orderBy("h", "k", "t").limit(most).collect()
         out += [(y, r["t"]) for r in rows]
     return out

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import mix64, text_chunks, utf8, word_hashes
 from orrery.llm.labelled import logistic, sample
 
-#: Labelled texts of each class that the network is fitted on, at most.
-PER_CLASS = 1600
+#: Labelled texts that the network is fitted on, at most: clean ones, toxic ones.
+PER_CLASS = (3200, 1600)
 MODULUS, REMAINDER = 4, 2
 THRESHOLD = 0.3
 WINDOW, STRIDE = 16, 8
@@ -231,7 +231,7 @@ def _column(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pa.array(texts, pa.large_string()))
 
 
-def fit(rows: list[tuple[int, str]], seed: int = 7, epochs: int = 8) -> Model:
+def fit(rows: list[tuple[int, str]], seed: int = 7, epochs: int = 12) -> Model:
     """Train on ``(label, text)``. Without both classes every score is the share of label 1, at
     most 0.95 and at least 0.05 (0.05 without labels)."""
     y = np.array([r[0] for r in rows])
@@ -308,13 +308,14 @@ def fit(rows: list[tuple[int, str]], seed: int = 7, epochs: int = 8) -> Model:
     step, three = 0, 3 * HIDDEN
     epochs = max(epochs, min(80, 600 // max(1, (len(positive) + len(negative)) // 256)))
     for epoch in range(epochs):
-        if epoch == epochs // 2:
+        if epoch in (epochs // 3, epochs // 2, 3 * epochs // 4):
             # windows of clean texts that the network so far takes for toxic ones
             z = np.concatenate([model.logits(_column([t for _, t in rows[i : i + 100]]))[0] for i in range(0, len(rows), 100)])
             clean = np.flatnonzero(y[owner] == 0)
             negative = np.unique(np.concatenate([negative, clean[np.argsort(-z[clean], kind="stable")[: cap // 2]]]))
         chosen, target = np.concatenate([positive, negative]), np.repeat([1.0, 0.0], [len(positive), len(negative)]).astype(np.float32)
         balance = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
+        rate = 0.01 * (1 - 0.9 * epoch / epochs)
         order = rng.permutation(len(chosen))
         for i in range(0, len(order), 256):
             pick = order[i : i + 256]
@@ -355,7 +356,7 @@ def fit(rows: list[tuple[int, str]], seed: int = 7, epochs: int = 8) -> Model:
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
-                p[k] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
+                p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
     model.slope, model.offset = _calibrate(model, aside, np.array([r[0] for r in aside]))
     return model
 
@@ -370,8 +371,8 @@ def _calibrate(model: Model, rows: list[tuple[int, str]], y: np.ndarray) -> tupl
 # ---------------------------------------------------------------- the operator
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on at most ``per_class`` labelled texts of each class, none of the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """Fit on at most ``per_class`` labelled texts, clean and toxic, none of the held-out fold."""
     return fit(sample(docs, labels, "toxic", MODULUS, REMAINDER, per_class))
 
 
