@@ -1,77 +1,21 @@
-"""Shared plumbing of the corpus operators: scratch tables, word hashing, components.
-
-Scratch tables are Parquet written below ``spark.checkpoint.dir``, the folder that driver and
-executors share, so that a lost executor costs at most the tasks it was running.
-"""
+"""Shared plumbing of the corpus operators: batches of texts, word hashing, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-#: Bytes of text that one numpy step works on; temporaries take about 60 bytes for each.
-CHUNK_BYTES = 1 << 20
-
-
-# ---------------------------------------------------------------- scratch tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is set only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            where = getattr(shared_dir, "_own", None) or tempfile.mkdtemp(prefix="orrery-")
-            shared_dir._own = where
-            return f"file://{where}"
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return where
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/orrery/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return path
+from orrery.storage import drop, mark, materialize, settle
 
+__all__ = ["drop", "mark", "materialize", "settle"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete a scratch table that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _SCRATCH:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session may be gone by now
-            return
+#: Bytes of text that one numpy step works on; temporaries take about 60 bytes for each.
+CHUNK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- batches and words

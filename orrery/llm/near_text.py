@@ -8,8 +8,10 @@ class and enter as their smallest id.
 No group is compared with itself whole. A band's bucket is cut into chunks of about ``CHUNK``
 members, each with the bucket's first member added; a chunk proposes a spanning forest of its
 likeliest pairs. Once those are confirmed, a bucket whose members are all connected is done. In
-the few that are left, members outside the bucket's largest component are compared with all
-members, chunk by chunk, so that no pair that shares a band is missed.
+the few that are left, sketches of the members outside the bucket's largest component are compared
+with those of all members. Components that come near each other form a group, in which the full
+sets of all but the largest are compared with those of all, chunk by chunk. So no pair that shares
+a band is missed, and what is shipped grows with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import components, drop, gram_hashes, materialize, mix64, text_chunks, utf8, word_hashes, word_spans
+from orrery.llm.common import components, gram_hashes, mark, materialize, mix64, settle, text_chunks, utf8, word_hashes, word_spans
 
 BANDS, ROWS = 36, 6
 SKETCH_BITS = 1024
 CHUNK = 64
 #: Pairs whose estimated similarity is this much below the threshold are not confirmed; that is
-#: more than five standard errors of the estimate.
-SLACK = 0.2
+#: more than four and a half standard errors of the estimate.
+SLACK = 0.15
 
 _SEEDS = np.random.default_rng(77)
 _A = (_SEEDS.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
@@ -196,21 +198,60 @@ def _forest(most: int):
 
 
 def _across(most: int):
-    """Of each sorted group the near pairs of a member outside the main component and another component's."""
+    """Edges between components of which a member outside a bucket's main one comes near another's
+    member by its sketch. A task tells no more of them than connect what it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
         for t, at in _groups(batches, ["key", "j", "m"]):
-            ids, comp, own, bits = np.asarray(t.column("id")), np.asarray(t.column("comp")), np.asarray(t.column("own")), _sketches(t)
-            out_a, out_b = [], []
+            comp, own, bits = np.asarray(t.column("comp")), np.asarray(t.column("own")), _sketches(t)
+            out = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 rest = np.flatnonzero(~own[lo:hi]) + lo
                 for i in np.flatnonzero(own[lo:hi]) + lo:
                     other = rest[comp[rest] != comp[i]]
-                    hit = other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= most]
-                    out_a.append(np.minimum(ids[hit], ids[i]))
-                    out_b.append(np.maximum(ids[hit], ids[i]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                    for c in np.unique(comp[other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= most]]).tolist():
+                        x, y = _find(parent, int(comp[i])), _find(parent, c)
+                        if x != y:
+                            parent[x] = y
+                            out.append((int(comp[i]), c))
+            if out:
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _links_into(k: int, percent: int, most: int):
+    """Of each sorted group (some documents against a chunk) links that connect what its sets connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _groups(batches, ["hyper", "j", "m"]):
+            ids, comp, own, bits, text = np.asarray(t.column("id")), np.asarray(t.column("comp")), np.asarray(t.column("own")), _sketches(t), t.column("t")
+            out = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                sets: dict[int, np.ndarray] = {}
+
+                def set_of(i: int, sets=sets, text=text) -> np.ndarray:
+                    if i not in sets:
+                        sets[i] = shingle_sets(text.slice(i, 1), k)[0]
+                    return sets[i]
+
+                parent: dict[int, int] = {}
+                rest = np.flatnonzero(~own[lo:hi]) + lo
+                for i in (np.flatnonzero(own[lo:hi]) + lo).tolist():
+                    far = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
+                    for j in rest[np.argsort(far, kind="stable")[: int((far <= most).sum())]].tolist():
+                        if comp[j] == comp[i] or _find(parent, int(comp[i])) == _find(parent, int(comp[j])):
+                            continue
+                        a, b = set_of(i), set_of(j)
+                        shared = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
+                        if shared and 100 * shared >= percent * (len(a) + len(b) - shared):
+                            parent[_find(parent, int(comp[i]))] = _find(parent, int(comp[j]))
+                            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -222,13 +263,8 @@ def _chunk_of(n):
 # ---------------------------------------------------------------- confirmation
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full sets have 100 * intersection >= percent * union.
-
-    ``docs(k, t)``: only the documents that pairs name are kept, then joined to either side.
-    """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    texts = materialize(docs.join(named, "k", "left_semi").withColumn("h", F.xxhash64("t")).dropDuplicates(["k", "h"]).drop("h"), "candidates")
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose full sets, of ``texts(k, t)``, have 100 * intersection >= percent * union."""
     both = (
         pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
         .join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
@@ -263,6 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     Rows with one key are one node with the links of each of their texts; rows without a key link with
     nothing, have no component and are kept. Empty in, empty out.
     """
+    since = mark()
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     signed = sign(rows, k)
     named = signed.where("doc_id is not null and n_shingles > 0")
@@ -283,7 +320,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     chunks = members.withColumn("sub", F.explode(first)).select("key", "sub", "id").join(sketches, "id").repartition("key", "sub").sortWithinPartitions("key", "sub", "id").select("key", "sub", "id", "sketch")
     most = most_differing(percent / 100 - SLACK)
     proposed = materialize(chunks.mapInArrow(_forest(most), "a long, b long").where("a <> b").distinct(), "proposed")
-    links = materialize(confirm(proposed, rows, k, percent), "links")
+    ids = members.select(F.col("id").alias("k")).distinct()
+    texts = materialize(rows.join(ids, "k", "left_semi").withColumn("h", F.xxhash64("t")).dropDuplicates(["k", "h"]).drop("h"), "candidates")
+    links = materialize(confirm(proposed, texts, k, percent), "links")
     comps = materialize(components(links), "components")
 
     # buckets that are not one component yet
@@ -298,14 +337,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     outside = left.where("comp <> main").withColumn("m", _chunk_of(F.col("outside"))).withColumn("j", F.explode(F.sequence(F.lit(0), n_all - 1))).withColumn("own", F.lit(True))
     cols = ["key", "j", "m", "id", "comp", "own", "sketch"]
     both = every.select(*cols).unionByName(outside.select(*cols)).repartition("key", "j", "m").sortWithinPartitions("key", "j", "m", "own", "id")
-    more = both.mapInArrow(_across(most), "a long, b long").distinct().join(proposed, ["a", "b"], "left_anti")
-    more = materialize(more, "proposed")
-    extra = materialize(confirm(more, rows, k, percent), "links")
+    near = materialize(both.mapInArrow(_across(most), "a long, b long").distinct(), "near")
+    hypers = materialize(components(near).select(F.col("id").alias("comp"), F.col("component_id").alias("hyper")), "hypers")
+    placed = texts.join(comps.select(F.col("id").alias("k"), F.col("component_id").alias("c")), "k", "left").select(F.col("k").alias("id"), F.coalesce("c", "k").alias("comp"), "t")
+    placed = materialize(placed.join(hypers, "comp").join(sketches, "id"), "placed")
+    per = placed.groupBy("hyper", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("hyper").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main")).select("hyper", "n", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.n")).alias("outside"))
+    placed = placed.join(sizes, "hyper")
+    part = lambda c: F.pmod(F.xxhash64("id"), F.ceil(F.col(c) / CHUNK)).cast("long")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / CHUNK).cast("long") - 1)
+    every = placed.withColumn("j", part("n")).withColumn("m", F.explode(upto("outside"))).withColumn("own", F.lit(False))
+    mine = placed.where("comp <> main").withColumn("m", part("outside")).withColumn("j", F.explode(upto("n"))).withColumn("own", F.lit(True))
+    cols = ["hyper", "j", "m", "id", "comp", "own", "sketch", "t"]
+    against = every.select(*cols).unionByName(mine.select(*cols)).repartition("hyper", "j", "m").sortWithinPartitions("hyper", "j", "m", "own", "id")
+    extra = materialize(against.mapInArrow(_links_into(k, percent, most), "a long, b long").distinct(), "links")
     if not extra.isEmpty():
         comps = materialize(components(links.unionByName(extra)), "components")
-    for t in (members, labelled, left):
-        drop(t)
-    return _label(signed, classes, comps)
+    return settle(_label(signed, classes, comps), since, "near-duplicates")
 
 
 def _label(signed: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -322,7 +370,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id"
     Of rows with one key one stays, that of the least text hash; rows without a key all stay.
     """
     names = docs.columns
-    found = materialize(near_duplicates(docs, k, percent, key, text), "near-duplicates")
+    found = near_duplicates(docs, k, percent, key, text)
     out = docs.join(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), F.col(f"`{key}`").cast("long") == F.col("__id"), "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
     if again.isEmpty():

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import components, materialize
+from orrery.llm.common import components, mark, materialize, settle
 from orrery.llm.near_text import _groups
 
 THRESHOLD, RECALL, WINDOW = 0.9, 0.97, 32
@@ -165,6 +165,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     link with nothing. Rows with one key and one direction link as different rows do; rows
     without a key link with nothing and have no component. Empty in, empty out.
     """
+    since = mark()
     signed = unit_vectors(vectors, key, embedding)
     good = signed.where("id is not null and cls is not null")
     classes = materialize(good.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -201,9 +202,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     by_class = classes.join(counted, classes["rep"] == counted["id"], "left").select("cls", F.coalesce("comp", "rep").alias("c"), F.coalesce("links", F.col("n") - 1).alias("links"))
     out = signed.select("id", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(by_class, "cls", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return out.select(
+    out = out.select(
         F.col("id").alias("vec_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+    return settle(out, since, "near-duplicates")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _powers, gram_hashes, materialize, mix64, text_chunks, utf8, word_hashes, word_spans
+from orrery.llm.common import _powers, gram_hashes, mark, materialize, mix64, settle, text_chunks, utf8, word_hashes, word_spans
 
 MIN_WORDS, K = 50, 10
 #: Parts into which the sorted suffixes of one stretch are dealt; firsts of the parts meet again.
@@ -93,6 +93,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, key:
     ``doc`` is the key, ``th`` the hash of the text that tells rows with one key apart; ``spans``
     are ascending, disjoint ``(start, end)`` in words. Rows without a key are left out.
     """
+    since = mark()
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t")).where("doc is not null and t is not null")
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, key:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(out, kind)], ["doc", "th", "spans"])
 
-    return materialize(spans.mapInArrow(merge, "doc long, th long, spans array<struct<start:int,end:int>>"), "spans")
+    return settle(spans.mapInArrow(merge, "doc long, th long, spans array<struct<start:int,end:int>>"), since, "spans")
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
