@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import materialize, text_chunks, utf8, word_spans
+from orrery.llm.common import mark, materialize, settle, text_chunks, utf8, word_spans
 
 MAX_EPOCHS = 3
 #: Rows that a hash bucket of a source has, about.
@@ -83,6 +83,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     taken words miss its target by at most half of one document. Null texts have size 0; a source
     without words has target 0. Repeated rows are taken each for itself. Empty in, empty out.
     """
+    since = mark()
     rows = word_counts(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), *keep))
     rows = materialize(rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sizes")
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -107,7 +108,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     at = at.withColumn("cum", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = at.withColumn("repeats", taken(F.when(2 * F.col("cum") + F.col("size") <= 2 * F.col("extra"), 1).otherwise(0))).drop("cum")
     both = away.unionByName(at)
-    return both.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("repeats"), F.lit(max_epochs)).cast("long").alias("repeats"), *keep).withColumn("taken", F.col("repeats") * F.col("size"))
+    both = both.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("repeats"), F.lit(max_epochs)).cast("long").alias("repeats"), *keep)
+    return settle(both.withColumn("taken", F.col("repeats") * F.col("size")), since, "mix")
 
 
 def repeat_rows(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -117,8 +119,12 @@ def repeat_rows(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     """
     names = docs.columns
     keyed = docs.withColumn("__th", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    times = mix(keyed, key, source, text, max_epochs, seed, ("__th",)).groupBy("doc_id", "__th").agg(F.sum("repeats").alias("__times")).where("__times > 0")
-    times = times.withColumnsRenamed({"doc_id": "__id", "__th": "__h"})
-    one = keyed.dropDuplicates([key, "__th"])
-    joined = one.join(times, one[key].cast("long").eqNullSafe(F.col("__id")) & (one["__th"] == F.col("__h")))
+    mixed = mix(keyed, key, source, text, max_epochs, seed, ("__th",)).groupBy("doc_id", "__th").agg(F.sum("repeats").alias("__times"), F.count("*").alias("__n"))
+    times = mixed.where("__times > 0").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), "__times")
+    same = keyed[key].cast("long").eqNullSafe(F.col("__id")) & (keyed["__th"] == F.col("__h"))
+    one = keyed
+    again = mixed.where("__n > 1").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"))
+    if not again.isEmpty():
+        one = keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates([key, "__th"]))
+    joined = one.join(times, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
