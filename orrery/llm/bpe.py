@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import text_chunks
 from orrery.llm.pieces import PRETOKEN, PieceMemo, packed_ids
 
-KEEP_TOKENS = 400_000
+KEEP_TOKENS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:

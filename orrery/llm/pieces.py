@@ -21,7 +21,7 @@ PRETOKEN = regex.compile(
 )
 _STARTS_WHITE = regex.compile(f"[{WHITE}]").match
 #: Pieces of more characters are encoded but not kept.
-KEEP_CHARS, KEEP_PIECES = 64, 600_000
+KEEP_CHARS, KEEP_PIECES = 64, 300_000
 
 
 def split_pieces(text: str) -> list[str]:
