@@ -192,7 +192,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class LibraryEncoder:
     """The tokenizers library behind a memo of units; unseen units go to it many at a time."""
 
-    KEEP = 1_000_000
+    KEEP = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -210,7 +210,7 @@ class LibraryEncoder:
 
     def forget(self) -> None:
         self.index: dict[int, int] = {}  # hash of a unit -> its place in begin
-        self.begin = np.zeros(1 << 16, np.int64)
+        self.begin = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.n = self.used = 0
 
@@ -259,8 +259,13 @@ class LibraryEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts = unit_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        unique, first, inverse = np.unique(word_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
-        keys = unique.tolist()
+        hashes = word_hashes(data, starts, ends, False)
+        order = np.argsort(hashes)
+        new_key = np.ones(len(order), bool)
+        np.not_equal(hashes[order[1:]], hashes[order[:-1]], out=new_key[1:])
+        first, inverse = order[new_key], np.empty(len(order), np.int32)
+        inverse[order] = np.cumsum(new_key, dtype=np.int32) - 1
+        keys = hashes[first].tolist()
         found = list(map(self.index.get, keys))
         if None in found:
             new = [i for i, x in enumerate(found) if x is None]
@@ -269,11 +274,12 @@ class LibraryEncoder:
                 new = range(len(keys))
             at = first[np.array(new)]
             self.learn([keys[i] for i in new], raw, data, starts[at], ends[at])
-            found = list(map(self.index.get, keys))
-        place = np.array(found)[inverse]
-        begin, count = self.begin[place], self.begin[place + 1] - self.begin[place]
-        total = np.cumsum(count)
-        ids = self.ids[np.repeat(begin - total + count, count) + np.arange(total[-1])]
+            for i in new:
+                found[i] = self.index[keys[i]]
+        known = np.array(found)
+        begin, count = self.begin[known][inverse], (self.begin[known + 1] - self.begin[known])[inverse]
+        total = np.cumsum(count, dtype=np.int32)
+        ids = self.ids[np.repeat(begin - total + count, count) + np.arange(total[-1], dtype=np.int32)]
         upto = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
         return ids, np.diff(upto)
 
