@@ -320,7 +320,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     chunks = members.withColumn("sub", F.explode(first)).select("key", "sub", "id").join(sketches, "id").repartition("key", "sub").sortWithinPartitions("key", "sub", "id").select("key", "sub", "id", "sketch")
     most = most_differing(percent / 100 - SLACK)
     proposed = materialize(chunks.mapInArrow(_forest(most), "a long, b long").where("a <> b").distinct(), "proposed")
-    ids = members.select(F.col("id").alias("k")).distinct()
+    # candidates grow with the corpus: the same sorted join at every size, never a broadcast
+    ids = members.select(F.col("id").alias("k")).distinct().hint("merge")
     texts = materialize(rows.join(ids, "k", "left_semi").withColumn("h", F.xxhash64("t")).dropDuplicates(["k", "h"]).drop("h"), "candidates")
     links = materialize(confirm(proposed, texts, k, percent), "links")
     comps = materialize(components(links), "components")
@@ -371,7 +372,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id"
     """
     names = docs.columns
     found = near_duplicates(docs, k, percent, key, text)
-    out = docs.join(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), F.col(f"`{key}`").cast("long") == F.col("__id"), "left_anti")
+    out = docs.join(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct().hint("merge"), F.col(f"`{key}`").cast("long") == F.col("__id"), "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
     if again.isEmpty():
         return out
