@@ -102,6 +102,54 @@ def test_vector_passes_reach_the_threshold(spark):
     assert got >= 0.93 * 4000
 
 
+def crowded(n, dim, hot, mean, pairs):
+    """``n`` directions, the first ``hot`` of one topic of that mean cosine, and neighbours at 0.905 of ``pairs`` of these."""
+    rng = np.random.default_rng(4)
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    x, topic = unit(rng.standard_normal((n, dim))), np.eye(dim)[0]
+    x[:hot, 0] = 0
+    x[:hot] = np.sqrt(mean) * topic + np.sqrt(1 - mean) * unit(x[:hot])
+    some = x[:pairs]
+    y = rng.standard_normal((pairs, dim))
+    y[:, 0] = 0
+    y = np.sqrt(mean) * topic + np.sqrt(1 - mean) * unit(y)
+    y = unit(y - (y * some).sum(axis=1)[:, None] * some)
+    return np.concatenate([x, 0.905 * some + np.sqrt(1 - 0.905**2) * y])
+
+
+def linked(spark, x):
+    """The share of all pairs at the threshold that come into one component."""
+    near = np.argwhere(np.triu(x @ x.T >= near_vectors.THRESHOLD, 1)).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    comp = {r.vec_id: r.component_id for r in near_vectors.near_duplicates(df).collect()}
+    return sum(comp[a] == comp[b] for a, b in near) / len(near)
+
+
+@pytest.mark.parametrize("mean", [0.7, 0.8])
+def test_vectors_of_a_crowded_topic(spark, mean):
+    assert linked(spark, crowded(12_000, 64, 4000, mean, 500)) >= near_vectors.RECALL
+
+
+def test_vectors_of_a_crowded_topic_by_passes_alone(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "PASS_WORTH", 4)
+    assert linked(spark, crowded(3000, 32, 1000, 0.5, 500)) >= near_vectors.RECALL - 0.02  # two deviations of 500 pairs
+
+
+def test_vector_depths_count_what_lies_beyond_the_window():
+    rng = np.random.default_rng(6)
+    m, window = 600, 8
+    keys = np.sort(rng.integers(0, 1 << 63, m, dtype=np.int64) >> rng.integers(0, 3, m))
+    comps = np.where(rng.random(m) < 0.3, 7, np.arange(1000, 1000 + m))
+    comps[200:260] = 7
+    where = np.repeat([1, 2, 3], [250, 250, 100])
+    keys = np.concatenate([np.sort(keys[where == w]) for w in (1, 2, 3)])
+    got = near_vectors.depths(keys, comps, where, window)
+    for i in range(m):
+        cell = [j for j in range(m) if where[j] == where[i] and keys[j] >> (63 - min(63, got[i])) == keys[i] >> (63 - min(63, got[i]))]
+        assert got[i] == 64 or all(abs(i - j) <= window or comps[j] == comps[i] for j in cell)
+    assert (got[250 + window + 1 : 500 - window - 1] < 64).all()
+
+
 # ------------------------------------------------------------------ 2 and 9
 
 
