@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orrery.storage import drop, mark, materialize, settle
 
@@ -77,42 +79,108 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Keys of the two halves of a word's hash: constants of no meaning, the same everywhere.
+_KEYS = np.random.default_rng(20240607).integers(1, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LANE_BYTES = 256
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data`` as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.uint64, padded, 0, (1,))
+
+
+def _chained(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, halves: tuple[int, ...]) -> list[np.ndarray]:
+    data = _LOWER[data] if lower else data
+    eight, size = lanes(data), ends - starts
+    out = []
+    for half in halves:
+        h = size.astype(np.uint64) * _KEYS[half] + _KEYS[half + 2]
+        out.append(h)
+    rows, at, left = np.flatnonzero(size <= LANE_BYTES), starts, size
+    while len(rows):
+        lane = eight[at[rows]] & _LOW[np.minimum(left[rows], 8)]
+        for h, half in zip(out, halves, strict=True):
+            h[rows] = mix64((h[rows] ^ lane) * _KEYS[half + 4])
+        rows = rows[left[rows] > 8]
+        at, left = at + 8, left - 8
+    long = np.flatnonzero(size > LANE_BYTES)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        for r in long.tolist():
+            both = np.frombuffer(xxhash.xxh3_128_digest(raw[starts[r] : ends[r]]), np.uint64)
+            for h, half in zip(out, halves, strict=True):
+                h[r] = both[half] ^ _KEYS[half]
+    return out
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p)
-    return _POWERS
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hashes of the words, eight bytes a step through a keyed mixer, no polynomial. Words of
+    one length up to eight bytes never share one."""
+    return _chained(data, starts, ends, lower, (0,))[0] if len(starts) else np.zeros(0, np.uint64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of the words, from one running polynomial sum over the bytes."""
-    n = len(data)
+def word_hash_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Both 64-bit halves of a 128-bit hash; the first is that of ``word_hashes``."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(n + 1)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[:n], out=run[1:])
-    return mix64((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    one, two = _chained(data, starts, ends, lower, (0, 1))
+    return one, two
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` neighbouring words; one for each start that has k words."""
+    """Hashes of the runs of ``k`` neighbouring words; one for each start that has k words.
+
+    Runs of twice the length are mixed from two shorter ones, at last from two that overlap.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(words) + 1)
-    run = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=run[1:])
-    return mix64((run[k:] - run[:-k]) * down[:n])
+    both = lambda x, y: mix64((mix64(x) ^ _KEYS[0]) * _KEYS[1] + y)
+    run, size = words, 1
+    while 2 * size <= k:
+        run, size = both(run[:-size], run[size:]), 2 * size
+    return both(run[:n], run[k - size : k - size + n]) if size < k else mix64(run[:n] + np.uint64(k))
+
+
+# ---------------------------------------------------------------- columns
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], *stems: str) -> list[str]:
+    """Names like ``stems`` that differ from each other and from all of ``taken``, in whatever case."""
+    used, out = {t.lower() for t in taken}, []
+    for stem in stems:
+        name, n = stem, 0
+        while name.lower() in used:
+            n += 1
+            name = f"{stem}_{n}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def beside_text(docs: DataFrame, text: str, results: list[tuple[str, str]], drop_text: bool = False) -> tuple[DataFrame, list[str], str, StructType]:
+    """What an operator that adds ``results`` (name, type) to rows reads and returns.
+
+    The rows with the text once more, last, under a name that no column has; the columns that
+    stay, which are those that bear no result's name in any case; that name; the result's schema.
+    """
+    replaced = {n.lower() for n, _ in results} | ({text.lower()} if drop_text else set())
+    kept = [c for c in docs.columns if c.lower() not in replaced]
+    (held,) = fresh([*kept, *[n for n, _ in results]], "text")
+    rows = docs.select(*[quoted(c) for c in kept])
+    schema = StructType(list(rows.schema.fields))
+    for name, kind in results:
+        schema.add(name, kind)
+    return docs.select(*[quoted(c) for c in kept], quoted(text).cast("string").alias(held)), kept, held, schema
 
 
 # ---------------------------------------------------------------- connected components

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import mark, materialize, settle, text_chunks, utf8, word_spans
+from orrery.llm.common import beside_text, fresh, mark, materialize, quoted, settle, text_chunks, utf8, word_spans
 
 MAX_EPOCHS = 3
 #: Rows that a hash bucket of a source has, about.
@@ -30,15 +30,13 @@ SEED = "mix-1"
 
 def word_counts(docs: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
     """Adds the number of words ``[^\\x20\\x09-\\x0D]+`` of whole texts (null: 0), in place of the text."""
-    kept = [c for c in docs.columns if c not in (text, size)]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(size, "long")
+    source, kept, held, schema = beside_text(docs, text, [(size, "long")], drop_text=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_chunks(batch, "__text"):
+            for a, b in text_chunks(batch, held):
                 part = batch.slice(a, b - a)
-                counts = np.diff(word_spans(*utf8(part.column("__text")))[2])
+                counts = np.diff(word_spans(*utf8(part.column(len(kept))))[2])
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(counts, pa.int64())], [*kept, size])
 
     return source.mapInArrow(run, schema)
