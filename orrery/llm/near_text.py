@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import components, gram_hashes, mark, materialize, mix64, settle, text_chunks, utf8, word_hashes, word_spans
+from orrery.llm.common import components, fresh, gram_hashes, mark, materialize, mix64, quoted, settle, text_chunks, utf8, word_hash_pairs, word_spans
 
 BANDS, ROWS = 36, 6
 SKETCH_BITS = 1024
@@ -41,37 +41,37 @@ _BAND_SALT = _SEEDS.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 # ---------------------------------------------------------------- sets and sketches
 
 
-def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every text, end to end, and their n + 1 offsets.
+def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of every text, end to end, the other halves of these 128-bit
+    hashes, and the n + 1 offsets of the texts.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than ``k`` words has
     its whole sequence as its one shingle, a text without words none.
     """
     data, offsets = utf8(column)
     s, e, at = word_spans(data, offsets)
-    words = word_hashes(data, s, e, True)
+    halves = word_hash_pairs(data, s, e, True)
     count = np.diff(at)
-    rows = np.arange(len(count))
-    doc = np.repeat(rows, count)
-    grams = gram_hashes(words, k)
-    ok = np.flatnonzero(doc[: len(grams)] == doc[k - 1 :]) if len(grams) else np.zeros(0, np.int64)
-    h, d = grams[ok], doc[ok]
+    doc = np.repeat(np.arange(len(count)), count)
+    grams = [gram_hashes(w, k) for w in halves]
+    ok = np.flatnonzero(doc[: len(grams[0])] == doc[k - 1 :]) if len(grams[0]) else np.zeros(0, np.int64)
+    h, g, d = grams[0][ok], grams[1][ok], doc[ok]
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
-        tails = [mix64(gram_hashes(words[at[r] : at[r + 1]], int(count[r])) + np.uint64(0x51ED270B * int(count[r]))) for r in short]
-        h, d = np.concatenate([h, *tails]), np.concatenate([d, short])
+        h, g = (np.concatenate([x, *[mix64(gram_hashes(w[at[r] : at[r + 1]], int(count[r])) + np.uint64(0x51ED270B * int(count[r]))) for r in short]]) for x, w in zip((h, g), halves, strict=True))
+        d = np.concatenate([d, short])
     order = np.lexsort((h, d))
-    h, d = h[order], d[order]
+    h, g, d = h[order], g[order], d[order]
     if len(h):
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-        h, d = h[new], d[new]
-    return h, np.searchsorted(d, np.arange(len(count) + 1))
+        h, g, d = h[new], g[new], d[new]
+    return h, g, np.searchsorted(d, np.arange(len(count) + 1))
 
 
-def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set hashes ``[n, 2]``, band keys ``[n, BANDS]`` and odd sketches ``[n, SKETCH_BITS / 8]`` of non-empty sets."""
     n, begin = len(at) - 1, at[:-1]
-    sums = np.column_stack([np.add.reduceat(mix64(h ^ np.uint64(salt)), begin) for salt in (0x1234567, 0x7654321ABCDEF)])
+    sums = np.column_stack([np.add.reduceat(mix64(h ^ np.uint64(0x1234567)), begin), np.add.reduceat(mix64(g ^ np.uint64(0x7654321ABCDEF)), begin)])
     x = (h >> np.uint64(32)).astype(np.uint32)
     low = np.empty((BANDS * ROWS, n), np.uint32)
     for i in range(BANDS * ROWS):
@@ -99,12 +99,12 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for a, b in text_chunks(batch, "t"):
                 part = batch.slice(a, b - a)
-                h, at = shingle_sets(part.column("t"), k)
+                h, g, at = shingle_sets(part.column("t"), k)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 s1, s2, bands, sketch = [None] * len(n), [None] * len(n), [None] * len(n), [None] * len(n)
                 if len(full):
-                    sums, keys, bits = signatures(h, np.append(at[full], len(h)))
+                    sums, keys, bits = signatures(h, g, np.append(at[full], len(h)))
                     sums, keys = sums.view(np.int64), keys.view(np.int64)
                     for i, r in enumerate(full.tolist()):
                         s1[r], s2[r], bands[r], sketch[r] = int(sums[i, 0]), int(sums[i, 1]), keys[i], bits[i].tobytes()
@@ -246,7 +246,7 @@ def _links_into(k: int, percent: int, most: int):
                             continue
                         a, b = set_of(i), set_of(j)
                         shared = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
-                        if shared and 100 * shared >= percent * (len(a) + len(b) - shared):
+                        if shared and 100 * shared >= percent * (len(a) + len(b) - shared) and linked(text[i].as_py(), text[j].as_py(), k, percent):
                             parent[_find(parent, int(comp[i]))] = _find(parent, int(comp[j]))
                             out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
             if out:
@@ -263,6 +263,29 @@ def _chunk_of(n):
 # ---------------------------------------------------------------- confirmation
 
 
+def linked(one: str, two: str, k: int, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of the full shingle sets, word by word: the words
+    themselves are compared, not their hashes."""
+    ids: dict[bytes, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in t.encode("utf-8").lower().split()], np.int64) for t in (one, two))
+    if not len(a) or not len(b):
+        return False
+    if len(a) < k or len(b) < k:
+        return np.array_equal(a, b)
+    bits, cut = len(ids).bit_length(), len(a) - k + 1
+    x = np.concatenate([a[:cut], b[: len(b) - k + 1]])
+    for i in range(1, k):
+        y = np.concatenate([a[i : cut + i], b[i : len(b) - k + 1 + i]])
+        if bits * (i + 1) > 63:  # ranks instead of packed words
+            x = np.unique(x, return_inverse=True)[1]
+            x = x << bits | y if len(x).bit_length() + bits <= 63 else np.unique(np.column_stack([x, y]), axis=0, return_inverse=True)[1].ravel()
+        else:
+            x = x << bits | y
+    a, b = np.unique(x[:cut]), np.unique(x[cut:])
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)`` those whose full sets, of ``texts(k, t)``, have 100 * intersection >= percent * union."""
     both = (
@@ -273,16 +296,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_chunks(batch, "ta"):
-                part = batch.slice(lo, hi - lo)
-                keep = []
-                ha, at = shingle_sets(part.column("ta"), k)
-                for i in range(part.num_rows):
-                    hb, _ = shingle_sets(part.column("tb").slice(i, 1), k)
-                    mine = ha[at[i] : at[i + 1]]
-                    shared = len(np.intersect1d(mine, hb, assume_unique=True))
-                    keep.append(shared > 0 and 100 * shared >= percent * (len(mine) + len(hb) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+            ta, tb = batch.column("ta"), batch.column("tb")
+            keep = [linked(ta[i].as_py(), tb[i].as_py(), k, percent) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -300,7 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     nothing, have no component and are kept. Empty in, empty out.
     """
     since = mark()
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+    rows = docs.select(quoted(key).cast("long").alias("k"), quoted(text).alias("t"))
     signed = sign(rows, k)
     named = signed.where("doc_id is not null and n_shingles > 0")
     classes = materialize(named.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -371,12 +387,14 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id"
     Of rows with one key one stays, that of the least text hash; rows without a key all stay.
     """
     names = docs.columns
+    one, hashed, least = fresh(names, "id", "hash", "least")
     found = near_duplicates(docs, k, percent, key, text)
-    out = docs.join(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct().hint("merge"), F.col(f"`{key}`").cast("long") == F.col("__id"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    same = quoted(key).cast("long") == F.col(one)
+    out = docs.join(found.where("not kept").select(F.col("doc_id").alias(one)).distinct().hint("merge"), same, "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(one))
     if again.isEmpty():
         return out
-    many = out.join(again, F.col(f"`{key}`").cast("long") == F.col("__id"), "left_semi").withColumn("__h", F.xxhash64(F.col(f"`{text}`")))
-    least = many.groupBy(F.col(f"`{key}`").alias("__id")).agg(F.min("__h").alias("__least"))
-    many = many.join(least, F.col(f"`{key}`") == F.col("__id")).where("__h <=> __least").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in names])
-    return out.join(again, F.col(f"`{key}`").cast("long") == F.col("__id"), "left_anti").unionByName(many)
+    many = out.join(again, same, "left_semi").withColumn(hashed, F.xxhash64(quoted(text)))
+    first = many.groupBy(quoted(key).cast("long").alias(one)).agg(F.min(hashed).alias(least))
+    many = many.join(first, same).where(F.col(hashed).eqNullSafe(F.col(least))).dropDuplicates([one]).select(*[quoted(c) for c in names])
+    return out.join(again, same, "left_anti").unionByName(many)
