@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import CHUNK_BYTES, materialize, text_chunks, utf8, word_hashes
+from orrery.llm.common import CHUNK_BYTES, lanes, materialize, quoted, text_chunks, utf8, word_hashes
 
 MAGIC, BLOCK = b"PFORIDS1", 128
 SEGMENT_IDS = 4 << 20
@@ -189,6 +189,21 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each unit has the bytes of the unit ``like`` names."""
+    if (size != size[like]).any():
+        return False
+    eight, rows, at = lanes(data), np.flatnonzero(like != np.arange(len(starts))), 0
+    while len(rows):
+        one, two = eight[starts[rows] + at], eight[starts[like[rows]] + at]
+        rest = np.minimum(size[rows] - at, 8).astype(np.uint64)
+        if ((one ^ two) << (np.uint64(64) - np.uint64(8) * rest)).any():
+            return False
+        at += 8
+        rows = rows[size[rows] > at]
+    return True
+
+
 class LibraryEncoder:
     """The tokenizers library behind a memo of units; unseen units go to it many at a time."""
 
@@ -209,7 +224,7 @@ class LibraryEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}  # hash of a unit -> its place in begin
+        self.index: dict[int | bytes, int] = {}  # a unit, or its up to seven bytes and size as a number -> its place in begin
         self.begin = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.n = self.used = 0
@@ -217,17 +232,17 @@ class LibraryEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32) if text else np.zeros(0, np.uint32)
 
-    def _keep(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, keys: list[int | bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(lengths) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[self.n : self.n + len(lengths) + 1] = self.used + np.concatenate([[0], np.cumsum(lengths)])
-        self.index.update(zip(hashes, range(self.n, self.n + len(hashes)), strict=True))
+        self.index.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
         self.n, self.used = self.n + len(lengths), self.used + len(ids)
 
-    def learn(self, hashes: list[int], raw: bytes, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+    def learn(self, keys: list[int | bytes], raw: bytes, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
         """Ids of unseen units. Those without white space, but for one space in front, are put one
         after the other into one text for the library, behind a line feed where they have no space;
         they part where the bytes of its ids reach a unit's end. Others are encoded one by one."""
@@ -244,28 +259,38 @@ class LibraryEncoder:
             at = np.concatenate([[0], np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1])
             kept = np.ones(len(ids), bool)
             kept[at[:-1][lead]] = False
-            self._keep([hashes[i] for i in rows.tolist()], ids[kept], np.diff(at) - lead)
+            self._keep([keys[i] for i in rows.tolist()], ids[kept], np.diff(at) - lead)
         for i in np.flatnonzero(~many).tolist():
             ids = self.whole(raw[s[i] : e[i]].decode("utf-8"))
-            self._keep([hashes[i]], ids, np.array([len(ids)]))
+            self._keep([keys[i]], ids, np.array([len(ids)]))
+
+    def one_by_one(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.whole(raw[a:b].decode("utf-8")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts (their bytes and n + 1 offsets), and how many each has."""
         raw = data.tobytes()
         if any(s in raw for s in self.special):
-            ids = [self.whole(raw[a:b].decode("utf-8")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
+            return self.one_by_one(raw, offsets)
         if not raw:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts = unit_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
+        size = ends - starts
         hashes = word_hashes(data, starts, ends, False)
         order = np.argsort(hashes)
         new_key = np.ones(len(order), bool)
         np.not_equal(hashes[order[1:]], hashes[order[:-1]], out=new_key[1:])
         first, inverse = order[new_key], np.empty(len(order), np.int32)
         inverse[order] = np.cumsum(new_key, dtype=np.int32) - 1
-        keys = hashes[first].tolist()
+        if not same_bytes(data, starts, size, first[inverse].astype(np.int64)):  # two units share a hash
+            return self.one_by_one(raw, offsets)
+        # units themselves are looked up: short ones as numbers, with their size in the upper byte
+        lane = lanes(data)[starts[first]] & np.uint64(0xFFFFFFFFFFFFFF) >> (np.uint64(8) * np.maximum(7 - size[first], 0).astype(np.uint64))
+        keys = (lane | size[first].astype(np.uint64) << np.uint64(56)).tolist()
+        for i in np.flatnonzero(size[first] > 7).tolist():
+            keys[i] = raw[starts[first[i]] : ends[first[i]]]
         found = list(map(self.index.get, keys))
         if None in found:
             new = [i for i, x in enumerate(found) if x is None]
@@ -333,7 +358,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str =
             yield flush()
 
     ordered = (
-        docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+        docs.select(quoted(key).cast("long").alias("k"), quoted(text).alias("t"))
         .withColumn("h", F.xxhash64("t"))
         .repartitionByRange("k", "h")
         .sortWithinPartitions("k", "h")
