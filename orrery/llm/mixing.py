@@ -25,6 +25,8 @@ from orrery.llm.common import beside_text, fresh, mark, materialize, quoted, set
 MAX_EPOCHS = 3
 #: Rows that a hash bucket of a source has, about.
 BUCKET_ROWS = 4096
+#: Digits of the hash by which the bucket where a source's fraction is reached is narrowed at once.
+LEVEL_DIGITS = 3
 SEED = "mix-1"
 
 
@@ -73,31 +75,44 @@ def _digits(rows: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(rows / BUCKET_ROWS) / 4)).cast("int")
 
 
+def _edges(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``s, edge, before``: of each source with a fraction to take the bucket of hashes in which it is
+    reached, and the words before that bucket. Found ``LEVEL_DIGITS`` digits at a time, so that a
+    source never has more than ``16 ** LEVEL_DIGITS`` rows to order, however many its own."""
+    wanted = plan.where("extra > 0").select(F.col("source").alias("s"), "digits", "extra")
+    edge = wanted.select("*", F.lit("").alias("edge"), F.lit(0).cast("long").alias("before"))
+    deepest = plan.agg(F.max("digits")).first()[0] or 0
+    for at in range(LEVEL_DIGITS, deepest + LEVEL_DIGITS, LEVEL_DIGITS):
+        inside = rows.join(edge, rows["source"].eqNullSafe(F.col("s")) & F.startswith("h", "edge"))
+        bucket = F.expr(f"substr(h, 1, least(digits, {at}))")
+        sums = inside.groupBy("s", "digits", "extra", "before", bucket.alias("bucket")).agg(F.sum("size").alias("in_bucket"))
+        run = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("in_bucket").over(run), F.lit(0)))
+        # the fraction is reached in the last bucket that begins below it
+        last = sums.where(F.col("before") < F.col("extra")).groupBy("s", "digits", "extra").agg(F.max(F.struct("bucket", "before")).alias("last"))
+        edge = materialize(last.select("s", "digits", "extra", F.col("last.bucket").alias("edge"), F.col("last.before").alias("before")), "edges")
+    return edge.select("s", "edge", "before")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, source, size, source_size, target, repeats, taken`` of every row of ``docs``, and its columns ``keep``.
 
     ``taken = repeats * size`` words, ``repeats`` at most ``max_epochs``. The order within a
     source is that of ``md5(seed:key)``, then the key, then the size; a null key counts as empty text. A source's
     taken words miss its target by at most half of one document. Null texts have size 0; a source
-    without words has target 0. Repeated rows are taken each for itself. Empty in, empty out.
+    without words has target 0. Repeated rows are taken each for itself. Empty in, empty out. No
+    column of ``docs`` but these is read, whatever its name.
     """
     since = mark()
-    rows = word_counts(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), *keep))
+    rows = word_counts(docs.select(quoted(key).alias("doc_id"), quoted(source).alias("source"), quoted(text).alias("text"), *[quoted(c) for c in keep]))
     rows = materialize(rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sizes")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     plan = targets(rows).withColumn("digits", _digits(F.col("n_rows")))
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0))
     plan = materialize(plan.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    p = plan.select("source", "digits", "whole", "extra", "source_size", "target")
-    out = rows.join(p.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s"))).drop("s")
+    p = plan.join(_edges(rows, plan), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    p = p.select(F.col("source").alias("s"), "digits", "whole", "extra", "source_size", "target", "edge", "before")
+    out = rows.join(p, rows["source"].eqNullSafe(F.col("s"))).drop("s")
     out = out.withColumn("bucket", F.expr("substr(h, 1, digits)"))
-    sums = out.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("extra").alias("extra"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(run), F.lit(0)))
-    # the fraction is reached in the last bucket that begins below it
-    edge = sums.where(F.col("before") < F.col("extra")).groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("edge"))
-    edge = edge.select(F.col("source").alias("s"), F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))
-    out = out.join(edge, out["source"].eqNullSafe(F.col("s")), "left").drop("s")
     taken = lambda more: F.col("whole") + more
     away = out.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge")))
     away = away.withColumn("repeats", taken(F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0)))
@@ -106,7 +121,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     at = at.withColumn("cum", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = at.withColumn("repeats", taken(F.when(2 * F.col("cum") + F.col("size") <= 2 * F.col("extra"), 1).otherwise(0))).drop("cum")
     both = away.unionByName(at)
-    both = both.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("repeats"), F.lit(max_epochs)).cast("long").alias("repeats"), *keep)
+    both = both.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("repeats"), F.lit(max_epochs)).cast("long").alias("repeats"), *[quoted(c) for c in keep])
     return settle(both.withColumn("taken", F.col("repeats") * F.col("size")), since, "mix")
 
 
@@ -116,13 +131,12 @@ def repeat_rows(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     Equal rows are taken together: as many of them come out as ``mix`` takes of all of them.
     """
     names = docs.columns
-    keyed = docs.withColumn("__th", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    mixed = mix(keyed, key, source, text, max_epochs, seed, ("__th",)).groupBy("doc_id", "__th").agg(F.sum("repeats").alias("__times"), F.count("*").alias("__n"))
-    times = mixed.where("__times > 0").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), "__times")
-    same = keyed[key].cast("long").eqNullSafe(F.col("__id")) & (keyed["__th"] == F.col("__h"))
-    one = keyed
-    again = mixed.where("__n > 1").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"))
+    row, one, other, times, n, copy = fresh([*names, "doc_id", "source", "text", "size", "h", "repeats", "taken"], "row", "one", "other", "times", "n", "copy")
+    keyed = docs.withColumn(row, F.xxhash64(*[quoted(c) for c in names]))
+    mixed = mix(keyed, key, source, text, max_epochs, seed, (row,)).groupBy(F.col("doc_id").alias(one), F.col(row).alias(other)).agg(F.sum("repeats").alias(times), F.count("*").alias(n))
+    same = quoted(key).eqNullSafe(F.col(one)) & (F.col(row) == F.col(other))
+    again = mixed.where(F.col(n) > 1).select(one, other)
     if not again.isEmpty():
-        one = keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates([key, "__th"]))
-    joined = one.join(times, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
+        keyed = keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates([key, row]))
+    joined = keyed.join(mixed.where(F.col(times) > 0).select(one, other, times), same)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[quoted(c) for c in names])
