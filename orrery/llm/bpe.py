@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from orrery.llm.common import text_chunks
+from orrery.llm.common import beside_text, text_chunks
 from orrery.llm.pieces import PRETOKEN, PieceMemo, packed_ids
 
 KEEP_TOKENS = 300_000
@@ -128,22 +128,19 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", keep_ids:
     Narrow: one pass over the rows, no shuffle, memory bounded by one text plus two memos.
     A null text counts as empty: no ids, the hashes of nothing. Rows are independent, so
     repeated rows give repeated results; an empty table gives an empty result. Columns of
-    ``docs`` that bear a result's name are replaced.
+    ``docs`` that bear a result's name, in any case, are replaced.
     """
     more = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    more += [("ids", "array<int>")] * keep_ids + [("decoded", "string")] * keep_text
-    names = {n for n, _ in more}
-    kept = [c for c in docs.columns if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + [f"{n} {t}" for n, t in more])
+    more += [("ids", ArrayType(IntegerType()))] * keep_ids + [("decoded", "string")] * keep_text
+    source, kept, held, schema = beside_text(docs, text, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in batches:
-            for a, b in text_chunks(batch, "__text"):
+            for a, b in text_chunks(batch, held):
                 part = batch.slice(a, b - a)
                 n, ids_sha, text_sha, ids, back = [], [], [], [], []
-                for value in part.column("__text").to_pylist():
+                for value in part.column(len(kept)).to_pylist():
                     packed = bpe.encode(value or "")
                     decoded = bpe.decode(packed)
                     n.append(len(packed) // 4)

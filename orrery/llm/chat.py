@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import materialize
+from orrery.llm.common import materialize, quoted
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 PART = 64
@@ -36,10 +36,10 @@ def numbered_turns(turns: DataFrame, conversation: str = "conv_id", turn: str =
     called ``unknown``, a null text is empty; rows without a conversation are left out.
     """
     rows = turns.select(
-        F.col(f"`{conversation}`").cast("long").alias("conv"),
-        F.col(f"`{turn}`").cast("long").alias("turn"),
-        F.coalesce(F.col(f"`{role}`"), F.lit(NOBODY)).alias("speaker"),
-        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("content"),
+        quoted(conversation).cast("long").alias("conv"),
+        quoted(turn).cast("long").alias("turn"),
+        F.coalesce(quoted(role), F.lit(NOBODY)).alias("speaker"),
+        F.coalesce(quoted(text), F.lit("")).alias("content"),
     ).where("conv is not null")
     order = ["conv", "turn", "speaker", "h"]
     ordered = rows.withColumn("h", F.xxhash64("content")).repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "speaker", "content")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from orrery.storage import drop, mark, materialize, settle
 
@@ -167,7 +167,7 @@ def fresh(taken: list[str], *stems: str) -> list[str]:
     return out
 
 
-def beside_text(docs: DataFrame, text: str, results: list[tuple[str, str]], drop_text: bool = False) -> tuple[DataFrame, list[str], str, StructType]:
+def beside_text(docs: DataFrame, text: str, results: list[tuple[str, str | DataType]], drop_text: bool = False) -> tuple[DataFrame, list[str], str, StructType]:
     """What an operator that adds ``results`` (name, type) to rows reads and returns.
 
     The rows with the text once more, last, under a name that no column has; the columns that

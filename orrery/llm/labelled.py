@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import quoted
+
 
 def held_out(key: str, modulus: int, remainder: int):
     """Whether a document belongs to the fold that labels are never learned from."""
-    return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % modulus == remainder, F.lit(False))
+    return F.coalesce(F.crc32(quoted(key).cast("string")) % modulus == remainder, F.lit(False))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
@@ -44,13 +46,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     say are collected.
     """
     known = (
-        labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y"))
+        labels.select(quoted(key).alias("k"), quoted(label).cast("int").alias("y"))
         .where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out("k", modulus, remainder))
         .groupBy("k")
         .agg(F.max("y").alias("y"))
         .withColumn("h", F.xxhash64("k"))
     )
-    found = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null")
+    found = docs.select(quoted(key).alias("k"), quoted(text).alias("t")).where("t is not null")
     out = []
     for y, most in enumerate((per_class, per_class) if isinstance(per_class, int) else per_class):
         # half as many again, since a label may lack its document

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, text_chunks
+from orrery.llm.common import materialize, quoted, text_chunks
 
 #: Bytes of a row of pixels, 64 of 3 samples each: payloads are padded to whole rows.
 ROW_BYTES, WIDTH = 192, 64
@@ -164,7 +164,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", form:
                 media = [put(np.frombuffer(payload(t), np.uint8).reshape(-1, WIDTH, 3)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(size, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    rows = docs.select(quoted(key).alias("k"), quoted(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     return materialize(rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary"), "media")
 

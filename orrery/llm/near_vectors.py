@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import components, mark, materialize, settle
+from orrery.llm.common import components, mark, materialize, quoted, settle
 from orrery.llm.near_text import _groups
 
 THRESHOLD, RECALL, WINDOW = 0.9, 0.97, 32
@@ -128,7 +128,7 @@ def unit_vectors(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
                 dims.append(len(v)), cls.append(xxhash.xxh3_128_digest(raw)), unit.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(dims, pa.int32()), pa.array(cls, pa.binary()), pa.array(unit, pa.binary())], ["id", "dim", "cls", "unit"])
 
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("x"))
+    rows = vectors.select(quoted(key).cast("long").alias("id"), quoted(embedding).alias("x"))
     return materialize(rows.mapInArrow(run, "id long, dim int, cls binary, unit binary"), "vectors")
 
 

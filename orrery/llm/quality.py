@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import text_chunks
+from orrery.llm.common import beside_text, text_chunks
 from orrery.llm.labelled import logistic, sample
 
 #: Labelled texts of each class that the classifier is fitted on, at most.
@@ -113,21 +113,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """Adds ``score`` (0 to 1) to every row of ``docs``, replacing a column of that name.
+    """Adds ``score`` (0 to 1) to every row of ``docs``, replacing a column of that name in any case.
 
     Narrow: each whole text is compressed in blocks where it lies; a null text counts as empty
     and gets the curve's value at no evidence. Repeated rows get equal scores.
     """
-    kept = [c for c in docs.columns if c != score]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(score, "double")
+    source, kept, held, schema = beside_text(docs, text, [(score, "double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            for a, b in text_chunks(batch, "__text"):
+            for a, b in text_chunks(batch, held):
                 part = batch.slice(a, b - a)
-                scores = [scorer.score(t or "") for t in part.column("__text").to_pylist()]
+                scores = [scorer.score(t or "") for t in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(scores, pa.float64())], [*kept, score])
 
     return source.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import mix64, text_chunks, utf8, word_hashes
+from orrery.llm.common import beside_text, mix64, text_chunks, utf8, word_hashes
 from orrery.llm.labelled import logistic, sample
 
 #: Labelled texts that the network is fitted on, at most: clean ones, toxic ones.
@@ -377,20 +377,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_C
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds ``name`` (0 to 1) to every row of ``docs``, replacing a column of that name.
+    """Adds ``name`` (0 to 1) to every row of ``docs``, replacing a column of that name in any case.
 
     Narrow; a null text, an empty one and one without letters are one window of nothing. Long
     texts are scored whole, window by window. Repeated rows get equal scores.
     """
-    kept = [c for c in docs.columns if c != name]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(name, "double")
+    source, kept, held, schema = beside_text(docs, text, [(name, "double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_chunks(batch, "__text", 1 << 19):
+            for a, b in text_chunks(batch, held, 1 << 19):
                 part = batch.slice(a, b - a)
-                out = model.scores(utf8(pc.fill_null(part.column("__text"), "")))
+                out = model.scores(utf8(pc.fill_null(part.column(len(kept)), "")))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(out, pa.float64())], [*kept, name])
 
     return source.mapInArrow(run, schema)
