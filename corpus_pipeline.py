@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, mixing, near_text, quality, suffixes
-from orrery.llm.common import materialize
+from orrery.llm.common import fresh, materialize, quoted
 from orrery.llm.queries import TOKENIZER
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.classify(docs, model, score="__quality")
-    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs.columns, "quality")
+    scored = quality.classify(docs, model, score=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
