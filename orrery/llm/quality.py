@@ -3,7 +3,7 @@
 Two zstandard dictionaries are built, from good and from bad labelled text. A text is cut into
 blocks; each is compressed with both, and the difference of the summed sizes over the text's size is the
 evidence: near 0 where neither dictionary helps, as in a text that repeats itself. A logistic
-curve fitted on labelled texts that the dictionaries have not seen turns it into the probability
+curve fitted on labelled texts, by dictionaries that have not seen them, turns it into the probability
 of good quality, classes weighing alike (good texts are far more frequent; by their share nearly
 nothing would fall below the threshold).
 """
@@ -25,8 +25,11 @@ from orrery.llm.labelled import logistic, sample
 
 #: Labelled texts of each class that the classifier is fitted on, at most.
 PER_CLASS = 1200
-DICT_BYTES = 64 << 10
-BLOCK_BYTES = 1024
+#: A dictionary takes at most ``DICT_BYTES``, and a part in ``SHARE`` of the lesser class's text.
+DICT_BYTES, SHARE, LEAST_BYTES = 64 << 10, 8, 4096
+BLOCK_BYTES = 512
+#: Parts of the rows that in turn place the curve.
+FOLDS = 4
 LEVEL = 3
 #: About what the compressed form of nothing takes; damps the evidence of the shortest texts.
 FRAME_BYTES = 20
@@ -49,15 +52,19 @@ def blocks(data: bytes) -> list[bytes]:
     return [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where they are too few to train on."""
-    parts = [b for t in texts for b in blocks(t) if len(b) >= 64]
-    if sum(map(len, parts)) > 20 * DICT_BYTES:
-        try:
-            return zstandard.train_dictionary(DICT_BYTES, parts, k=256, d=8).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(parts)[:DICT_BYTES]
+def _dictionary(texts: list[bytes], size: int) -> bytes:
+    """A dictionary of ``size`` bytes trained on all of the texts; of less than ``LEAST_BYTES`` of
+    text the dictionary is the text itself, whole."""
+    whole = b"\n".join(texts)
+    if len(whole) < LEAST_BYTES:
+        return whole
+    return zstandard.train_dictionary(min(size, len(whole) // 4), blocks(whole), k=256, d=8).as_bytes()
+
+
+def _dictionaries(by: dict[int, list[bytes]]) -> tuple[bytes, bytes]:
+    """Of good and of bad text, of one size, which follows the class with the lesser text."""
+    size = max(512, min(DICT_BYTES, min(sum(map(len, t)) for t in by.values()) // SHARE))
+    return _dictionary(by[1], size), _dictionary(by[0], size)
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -73,9 +80,8 @@ class Scorer:
         self.good = _compressor(model.good) if model.good else None
         self.bad = _compressor(model.bad) if model.bad else None
 
-    def evidence(self, text: str) -> float:
-        """Normalised difference of the compressed sizes: above 0 if the good dictionary helps more."""
-        data = text.encode("utf-8")
+    def evidence(self, data: bytes) -> float:
+        """Normalised difference of a text's compressed sizes: above 0 if the good dictionary helps more."""
         parts = blocks(data)
         if not parts or self.good is None or self.bad is None:
             return 0.0
@@ -84,27 +90,29 @@ class Scorer:
         return (bad - good) / (len(data) + FRAME_BYTES)
 
     def score(self, text: str) -> float:
-        x = self.model.slope * self.evidence(text) + self.model.offset
+        x = self.model.slope * self.evidence(text.encode("utf-8")) + self.model.offset
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
 def fit(rows: list[tuple[int, str]]) -> Model:
-    """Odd rows of each class build its dictionary, even rows place the curve.
+    """Dictionaries of all rows of each class; the curve is placed on all rows as well, each read
+    by dictionaries that were built without its part of them.
 
     Without both classes every score is the share of good rows (at most 0.95, at least 0.05), or
     one half without labels.
     """
-    by = {y: [t for z, t in rows if z == y] for y in (0, 1)}
+    by = {y: [t.encode("utf-8") for z, t in rows if z == y] for y in (0, 1)}
     if not by[0] or not by[1]:
         share = 0.5 if not rows else min(0.95, max(0.05, len(by[1]) / len(rows)))
         return Model(b"", b"", 0.0, math.log(share / (1 - share)))
-    halves = {y: (t[1::2] or t, t[::2]) for y, t in by.items()}
-    model = Model(_dictionary([t.encode("utf-8") for t in halves[1][0]]), _dictionary([t.encode("utf-8") for t in halves[0][0]]), 1.0, 0.0)
-    scorer = model.scorer()
-    x = np.array([scorer.evidence(t) for y in (0, 1) for t in halves[y][1]])
-    y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
-    slope, offset = logistic(x, y)
-    return Model(model.good, model.bad, slope, offset)
+    final, x, y = _dictionaries(by), [], []
+    for k in range(FOLDS):
+        rest = {z: [t for i, t in enumerate(texts) if i % FOLDS != k] for z, texts in by.items()}
+        scorer = Model(*(_dictionaries(rest) if rest[0] and rest[1] else final), 1.0, 0.0).scorer()
+        for z, texts in by.items():
+            x += [scorer.evidence(t) for t in texts[k::FOLDS]]
+            y += [float(z)] * len(texts[k::FOLDS])
+    return Model(*final, *logistic(np.array(x), np.array(y)))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
