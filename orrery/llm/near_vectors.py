@@ -291,15 +291,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
 
     Vectors link at a cosine of at least ``threshold`` (above 0), in doubles; those without a
     direction (null, empty, zero, null or non-finite components) and those of other dimensions
-    link with nothing. Rows with one key and one direction link as different rows do; rows
+    link with nothing. Rows with one key link as different rows do, whatever their directions; rows
     without a key link with nothing and have no component. Empty in, empty out.
     """
     since = mark()
     signed = unit_vectors(vectors, key, embedding)
     good = signed.where("id is not null and cls is not null")
-    classes = materialize(good.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    # a key may have several directions, so classes are nodes of their own
+    classes = good.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = good.join(classes.withColumnRenamed("rep", "id"), ["cls", "id"]).dropDuplicates(["cls"])
-    reps = materialize(reps.select("id", "dim", "unit", "n"), "representatives")
+    reps = materialize(reps.select(F.col("node").alias("id"), "dim", "unit", "n"), "representatives")
     rows = reps.count()
     links = all_links(reps, rows, threshold, recall)
     comps = materialize(components(links), "components")
@@ -328,7 +330,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     counted = members.join(sizes.select("comp", "in_core"), "comp").join(more, "id", "left")
     counted = counted.select("id", "comp", (F.when(F.col("core"), F.col("in_core")).otherwise(F.col("n")) - 1 + F.coalesce("more", F.lit(0))).alias("links"))
 
-    by_class = classes.join(counted, classes["rep"] == counted["id"], "left").select("cls", F.coalesce("comp", "rep").alias("c"), F.coalesce("links", F.col("n") - 1).alias("links"))
+    by_class = classes.join(counted, classes["node"] == counted["id"], "left").select("cls", "comp", "rep", F.coalesce("links", F.col("n") - 1).alias("links"))
+    named = by_class.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("least"))
+    by_class = by_class.join(named, "comp", "left").select("cls", F.coalesce("least", "rep").alias("c"), "links")
     out = signed.select("id", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(by_class, "cls", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     out = out.select(
