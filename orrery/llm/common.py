@@ -170,17 +170,19 @@ def fresh(taken: list[str], *stems: str) -> list[str]:
 def beside_text(docs: DataFrame, text: str, results: list[tuple[str, str | DataType]], drop_text: bool = False) -> tuple[DataFrame, list[str], str, StructType]:
     """What an operator that adds ``results`` (name, type) to rows reads and returns.
 
-    The rows with the text once more, last, under a name that no column has; the columns that
-    stay, which are those that bear no result's name in any case; that name; the result's schema.
+    The rows, columns numbered, with the text once more, last; the columns that stay, which are
+    those that bear no result's name in any case; the name of that text; the result's schema.
     """
     replaced = {n.lower() for n, _ in results} | ({text.lower()} if drop_text else set())
     kept = [c for c in docs.columns if c.lower() not in replaced]
-    (held,) = fresh([*kept, *[n for n, _ in results]], "text")
+    (held,) = fresh([f"c{n}" for n in range(len(kept))], "text")
     rows = docs.select(*[quoted(c) for c in kept])
     schema = StructType(list(rows.schema.fields))
     for name, kind in results:
         schema.add(name, kind)
-    return docs.select(*[quoted(c) for c in kept], quoted(text).cast("string").alias(held)), kept, held, schema
+    # numbered: mapInArrow asks for columns by name, and takes a point in one for a field
+    source = docs.select(*[quoted(c).alias(f"c{n}") for n, c in enumerate(kept)], quoted(text).cast("string").alias(held))
+    return source, kept, held, schema
 
 
 # ---------------------------------------------------------------- connected components

@@ -372,7 +372,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = [n.lower() for n in names].index(text.lower())
         for batch in batches:
-            for lo, hi in text_chunks(batch, names[at]):
+            for lo, hi in text_chunks(batch, f"c{at}"):
                 part = batch.slice(lo, hi - lo)
                 spans_ = part.column(len(names)).to_pylist()
                 columns = [part.column(i) for i in range(len(names))]
@@ -388,4 +388,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
                 else:
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.toDF(*[f"c{n}" for n in range(len(names) + 1)]).mapInArrow(run, docs.schema)
