@@ -16,6 +16,8 @@ from orrery.functions.vocabulary import CORPORATE_SUFFIXES
 
 QUOTES = "\"'`“”‘’ "
 _ENDS = f"^[{QUOTES}]+|[{QUOTES}]+$"
+#: Names that cleaning leaves alone: visible ASCII without quotes, single spaces inside.
+_PLAIN = r"^[!#-&(-_a-~]+( [!#-&(-_a-~]+)*$"
 
 
 def _beyond_ascii(c: Column) -> Column:
@@ -43,13 +45,17 @@ def clean_name(c: Column, evaluator: bool = False) -> Column:
 
     The evaluator also drops white space that stood inside the quotes.
     """
+    return F.when(c.rlike(_PLAIN), c).otherwise(_cleaned(c, evaluator))
+
+
+def _cleaned(c: Column, evaluator: bool) -> Column:
     out = F.regexp_replace(F.regexp_replace(strip(nfkc(c)), _ENDS, ""), r"(?U)\s+", " ")
     return F.trim(out) if evaluator else out
 
 
 def canonical_key(c: Column, evaluator: bool = False) -> Column:
     """Key under which names are the same; curly apostrophes and dashes are plain ones."""
-    return F.translate(casefold(clean_name(c, evaluator)), "’–—", "'--")
+    return F.when(c.rlike(_PLAIN), F.lower(c)).otherwise(F.translate(casefold(_cleaned(c, evaluator)), "’–—", "'--"))
 
 
 def planner_key(c: Column) -> Column:

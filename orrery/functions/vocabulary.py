@@ -35,31 +35,58 @@ CANONICAL_LABELS = {
     "Channel": ("direct sales", "online", "retail", "distributors", "resellers", "OEMs", "system integrators", "managed service providers", "marketplaces"),
     "RevenueModel": ("subscription", "advertising", "licensing", "consumption-based", "hardware sales", "service fees", "royalties", "transaction fees"),
 }
-#: label type -> label -> other names that plans may use
+#: label type -> another name that plans may use -> the label
 LABEL_ALIASES = {
     "CustomerType": {
-        "government agencies": ("government", "public sector", "agencies", "agency"),
-        "healthcare organizations": ("healthcare", "healthcare firms", "providers", "health systems", "hospitals"),
-        "large enterprises": ("enterprise", "enterprise customers", "enterprises"),
-        "consumers": ("end users", "individuals"),
-        "small businesses": ("smb", "small business"),
-        "mid-market companies": ("mid market", "midsize companies", "midsized companies"),
+        "government": "government agencies",
+        "public sector": "government agencies",
+        "agencies": "government agencies",
+        "agency": "government agencies",
+        "healthcare": "healthcare organizations",
+        "healthcare firms": "healthcare organizations",
+        "providers": "healthcare organizations",
+        "health systems": "healthcare organizations",
+        "hospitals": "healthcare organizations",
+        "enterprise": "large enterprises",
+        "enterprise customers": "large enterprises",
+        "enterprises": "large enterprises",
+        "end users": "consumers",
+        "individuals": "consumers",
+        "smb": "small businesses",
+        "small business": "small businesses",
+        "mid market": "mid-market companies",
+        "midsize companies": "mid-market companies",
+        "midsized companies": "mid-market companies",
     },
     "Channel": {
-        "direct sales": ("direct", "direct selling"),
-        "online": ("website", "web", "self service"),
-        "marketplaces": ("marketplace", "marketplaces"),
-        "OEMs": ("oem", "oems"),
-        "system integrators": ("systems integrators", "integrators"),
-        "managed service providers": ("msp", "msps"),
+        "direct": "direct sales",
+        "direct selling": "direct sales",
+        "website": "online",
+        "web": "online",
+        "self service": "online",
+        "marketplace": "marketplaces",
+        "marketplaces": "marketplaces",
+        "oem": "OEMs",
+        "oems": "OEMs",
+        "systems integrators": "system integrators",
+        "integrators": "system integrators",
+        "msp": "managed service providers",
+        "msps": "managed service providers",
     },
     "RevenueModel": {
-        "subscription": ("recurring", "subscriptions"),
-        "advertising": ("ads", "advertisements"),
-        "consumption-based": ("usage based", "usage-based", "pay as you go", "pay-as-you-go"),
-        "hardware sales": ("hardware",),
-        "service fees": ("services", "professional services"),
-        "transaction fees": ("transactions", "transaction"),
+        "recurring": "subscription",
+        "subscriptions": "subscription",
+        "ads": "advertising",
+        "advertisements": "advertising",
+        "usage based": "consumption-based",
+        "usage-based": "consumption-based",
+        "pay as you go": "consumption-based",
+        "pay-as-you-go": "consumption-based",
+        "hardware": "hardware sales",
+        "services": "service fees",
+        "professional services": "service fees",
+        "transactions": "transaction fees",
+        "transaction": "transaction fees",
     },
 }
 CORPORATE_SUFFIXES = ("inc", "incorporated", "corporation", "corp", "company", "co", "group", "holdings", "holding", "plc", "ltd", "limited")

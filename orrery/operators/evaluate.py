@@ -6,8 +6,12 @@ Frames hold many comparisons at once; ``group`` columns (company, pipeline, spli
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,16 +73,21 @@ def candidates(gold: DataFrame, predicted: DataFrame, group: list[str]) -> DataF
     A pair can only match if relation and types agree, and then one of its ends agrees or is
     related; so each reason is an equi-join of its own, and the best reason of a pair is kept.
     """
-    g = keyed(gold).dropDuplicates([*group, "s", "subject_type", "relation", "o", "object_type"])
-    p = keyed(predicted).dropDuplicates([*group, "s", "subject_type", "relation", "o", "object_type"])
-    context = g.select(*group, *FIELDS, "s", "o").unionByName(p.select(*group, *FIELDS, "s", "o"))
-    alias = lambda df, side: df.withColumn(f"a{side[0]}", F.when(F.col(f"{side}_type") == "Company", text.company_alias_key(F.col(side))).otherwise(F.lit("")))
-    for side in ("subject", "object"):
-        g, p = alias(g, side), alias(p, side)
+    key = [*group, "s", "subject_type", "relation", "o", "object_type"]
     block = [*group, "subject_type", "relation", "object_type"]
+
+    def sided(triples: DataFrame, name: str) -> DataFrame:
+        """The different triples, with the alias keys of companies; written, as they are joined many times."""
+        rows = keyed(triples).dropDuplicates(key)
+        for side in ("subject", "object"):
+            rows = rows.withColumn(f"a{side[0]}", F.when(F.col(f"{side}_type") == "Company", text.company_alias_key(F.col(side))).otherwise(F.lit("")))
+        return storage.materialize(rows.select(*block, "s", "o", "as", "ao"), name)
+
+    g, p = sided(gold, "gold"), sided(predicted, "predicted")
+    context = g.unionByName(p)
     cols = ["s", "o", "as", "ao"]
-    g = storage.materialize(g.select(*block, *[F.col(c).alias(f"g_{c}") for c in cols]), "gold")
-    p = storage.materialize(p.select(*block, *[F.col(c).alias(f"p_{c}") for c in cols]), "predicted")
+    g = g.select(*block, *[F.col(c).alias(f"g_{c}") for c in cols])
+    p = p.select(*block, *[F.col(c).alias(f"p_{c}") for c in cols])
     ends = ["g_s", "g_o", "p_s", "p_o"]
     out: list[DataFrame] = []
 
@@ -133,21 +142,67 @@ def candidates(gold: DataFrame, predicted: DataFrame, group: list[str]) -> DataF
     return every.groupBy(*block, *ends).agg(F.min_by(F.struct("weight", "reason"), rank).alias("best")).select(*block, *ends, "best.weight", "best.reason")
 
 
-def greedy(pairs: DataFrame, group: list[str]) -> DataFrame:
+#: Pairs of one block (a group, relation and types) that one task goes through in order, at most.
+BLOCK_PAIRS = 1_000_000
+
+
+def greedy(pairs: DataFrame, group: list[str], block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """One-to-one matches in order of weight, reason, gold key, predicted key.
 
-    In rounds: a pair that is the first of both its ends is a match, and takes all pairs of its
-    ends away. The order is total, so the outcome is that of going through it one by one; a round
-    is two windows, each partitioned by one triple.
+    Pairs of different blocks share no triple. A block of at most ``block_pairs`` is gone through
+    in order as a sorted stream, of which a task holds the triples that have been matched. Larger
+    ones are settled in rounds by many tasks: a pair that is the first of both its ends is a match,
+    and takes all pairs of its ends away. The order is total, so the outcome is the same.
     """
-    key = ["subject_type", "relation", "object_type"]
-    gold, predicted = [*group, *key, "g_s", "g_o"], [*group, *key, "p_s", "p_o"]
-    tie = F.struct((-F.col("weight")).alias("w"), "reason", F.struct("g_s", "subject_type", "relation", "g_o", "object_type").alias("g"), F.struct("p_s", "p_o").alias("p"))
-    open_ = storage.materialize(pairs.withColumn("__rank", tie), "pairs")
-    done: list[DataFrame] = []
+    block = [*group, "subject_type", "relation", "object_type"]
+    tie = F.struct((-F.col("weight")).alias("w"), "reason", F.struct("g_s", "g_o").alias("g"), F.struct("p_s", "p_o").alias("p"))
+    pairs = storage.materialize(pairs.withColumn("__rank", tie), "pairs")
+    large = pairs.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") > block_pairs).select(*[F.col(c).alias(f"__{n}") for n, c in enumerate(block)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{n}")) for n, c in enumerate(block)])
+    if large.isEmpty():
+        return _in_order(pairs, block)
+    large = storage.materialize(large, "blocks")
+    return _in_order(pairs.join(large, same, "left_anti"), block).unionByName(_in_rounds(pairs.join(large, same, "left_semi"), block))
+
+
+def _in_order(pairs: DataFrame, block: list[str]) -> DataFrame:
+    columns = [c for c in pairs.columns if c != "__rank"]
+    ordered = pairs.repartition(*block).sortWithinPartitions(*block, "__rank").select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, gold, predicted = None, set(), set()
+        joined = lambda batch, names: zip(*[batch.column(c).to_pylist() for c in names], strict=True)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # blocks are long runs of equal rows: only their first rows are read
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in block:
+                x = batch.column(c)
+                new[1:] |= ~np.asarray(pc.fill_null(pc.equal(x[1:], x[:-1]), False))
+            starts = np.flatnonzero(new)
+            names = list(joined(batch.take(pa.array(starts)), block))
+            won = np.zeros(batch.num_rows, bool)
+            for name, lo, hi in zip(names, starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                if name != here:
+                    here, gold, predicted = name, set(), set()
+                for i, (gs, go, ps, po) in enumerate(joined(batch.slice(lo, hi - lo), ["g_s", "g_o", "p_s", "p_o"]), lo):
+                    if (gs, go) not in gold and (ps, po) not in predicted:
+                        won[i] = True
+                        gold.add((gs, go))
+                        predicted.add((ps, po))
+            yield batch.filter(pa.array(won, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)
+
+
+def _in_rounds(open_: DataFrame, block: list[str]) -> DataFrame:
+    gold, predicted = [*block, "g_s", "g_o"], [*block, "p_s", "p_o"]
+    open_, done = storage.materialize(open_, "pairs"), []
     while not open_.isEmpty():
-        firsts = open_.withColumn("__a", F.min("__rank").over(Window.partitionBy(*gold))).withColumn("__b", F.min("__rank").over(Window.partitionBy(*predicted)))
-        won = storage.materialize(firsts.where((F.col("__rank") == F.col("__a")) & (F.col("__rank") == F.col("__b"))).drop("__a", "__b"), "matches")
+        a, b = (open_.groupBy(*ends).agg(F.min("__rank").alias("__rank")) for ends in (gold, predicted))
+        won = storage.materialize(open_.join(a, [*gold, "__rank"], "left_semi").join(b, [*predicted, "__rank"], "left_semi"), "matches")
         done.append(won)
         rest = open_.join(won.select(*gold), gold, "left_anti").join(won.select(*predicted), predicted, "left_anti")
         last, open_ = open_, storage.materialize(rest, "pairs")
@@ -157,6 +212,7 @@ def greedy(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 def relaxed(gold: DataFrame, predicted: DataFrame, group: list[str]) -> DataFrame:
     """Weighted precision, recall and f1 of the greedy matches, by group."""
+    gold, predicted = (storage.materialize(df.select(*group, *FIELDS).distinct(), name) for df, name in ((gold, "gold"), (predicted, "predicted")))
     key = [*group, "s", "subject_type", "relation", "o", "object_type"]
     count = lambda df, name: keyed(df).select(*key).distinct().groupBy(*group).agg(F.count("*").alias(name))
     sizes = count(gold, "n_gold").join(count(predicted, "n_predicted"), group, "full_outer").na.fill(0)

@@ -98,6 +98,21 @@ class Graph:
     def with_closure(self) -> Graph:
         return self if self.closure is not None else replace(self, closure=offering_closure(self.child_offerings))
 
+    def below(self, asked: DataFrame) -> DataFrame:
+        """``company, root, offering``: the offerings ``asked(company, root)`` and all below them."""
+        if self.closure is not None:
+            return self.closure.join(asked, ["company", "root"], "left_semi").select("company", "root", F.col("descendant").alias("offering")).unionByName(asked.select("company", "root", F.col("root").alias("offering"))).distinct()
+        return offering_closure(self.child_offerings, asked).select("company", "root", F.col("descendant").alias("offering"))
+
+    def segments_over(self, wanted: DataFrame) -> DataFrame:
+        """``company, segment`` that have an offering of ``wanted(company, offering)``, or one above it."""
+        if self.closure is not None:
+            over = self.closure.join(wanted.withColumnRenamed("offering", "descendant"), ["company", "descendant"], "left_semi").select("company", F.col("root").alias("offering")).unionByName(wanted.select("company", "offering"))
+        else:
+            up = self.child_offerings.select("company", F.col("child").alias("parent"), F.col("parent").alias("child"))
+            over = offering_closure(up, wanted.withColumnRenamed("offering", "root")).select("company", F.col("descendant").alias("offering"))
+        return self.roots.join(over, ["company", "offering"], "left_semi").select("company", "segment")
+
     def segment_closure(self) -> DataFrame:
         """``company, segment, root, offering``: offerings of a segment and all below them."""
         roots = self.roots.withColumnRenamed("offering", "root")
@@ -214,15 +229,18 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return one("src", "dst").unionByName(one("dst", "src")).distinct()
 
 
-def offering_closure(children: DataFrame, max_depth: int = 64) -> DataFrame:
+def offering_closure(children: DataFrame, start: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
     """``company, root, descendant, depth`` of ``children(company, parent, child)``, roots included.
 
+    Closed from ``start(company, root)`` alone, where given, else from every offering of an edge.
     One join a level, of the level before alone; a pair that was reached before is not followed
-    again, so cycles end. Levels are written in the shared folder.
+    again, so cycles end. Edges and levels are written in the shared folder. Deeper nesting than
+    ``max_depth`` is an error.
     """
-    step = children.distinct()
-    start = step.select("company", F.explode(F.array("parent", "child")).alias("root")).distinct()
-    level = storage.materialize(start.select("company", "root", F.col("root").alias("descendant"), F.lit(0).alias("depth")), "closure")
+    step = storage.materialize(children.distinct(), "children")
+    if start is None:
+        start = step.select("company", F.explode(F.array("parent", "child")).alias("root"))
+    level = storage.materialize(start.distinct().select("company", "root", F.col("root").alias("descendant"), F.lit(0).alias("depth")), "closure")
     reached = level
     for depth in range(1, max_depth + 1):
         down = level.join(step.withColumnRenamed("parent", "descendant"), ["company", "descendant"]).select("company", "root", F.col("child").alias("descendant")).distinct()

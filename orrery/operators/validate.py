@@ -78,12 +78,19 @@ def validate_batch(triples: DataFrame, batch: list[str], place_names: DataFrame
         rows = rows.withColumn(f"__{side}", text.canonical_key(F.col(side)))
     good = F.size("issues") == 0
     nested = good & (F.col("relation") == "OFFERS") & (F.col("subject_type") == "Offering") & (F.col("object_type") == "Offering")
-    parent = F.min(F.when(nested, F.struct("idx", "__subject"))).over(Window.partitionBy(*batch, "__object"))
-    other = nested & (parent["__subject"] != F.col("__subject"))
+    # nested rows alone are aggregated: names that many triples share, such as a channel's, are none
+    firsts = rows.where(nested).groupBy(*[F.col(b).alias(f"__nested{n}") for n, b in enumerate(batch)], F.col("__object").alias("__below"))
+    firsts = firsts.agg(F.min(F.struct("idx", "__subject")).alias("__first"))
+    here = [F.col(b).eqNullSafe(F.col(f"__nested{n}")) for n, b in enumerate(batch)]
+    rows = rows.join(firsts, reduce(lambda a, b: a & b, [*here, F.col("__object") == F.col("__below"), nested]), "left")
+    other = nested & (F.col("__first.__subject") != F.col("__subject"))
     rows = rows.withColumn("issues", F.when(other, F.array(F.struct(F.lit("multiple_offering_parents").alias("code"), F.lit("another offering is already its parent").alias("message")))).otherwise(F.col("issues")))
+    rows = rows.drop("__first", "__below", *[f"__nested{n}" for n in range(len(batch))])
     rows = rows.withColumn("__good", F.size("issues") == 0)
     key = ["__subject", "subject_type", "relation", "__object", "object_type"]
-    again = F.row_number().over(Window.partitionBy(*batch, "__good", *key).orderBy("idx")) > 1
+    # rows with issues are no duplicates: each is a group of its own
+    lane = F.when(~F.col("__good"), F.col("idx"))
+    again = F.row_number().over(Window.partitionBy(*batch, lane, *key).orderBy("idx")) > 1
     rows = rows.withColumn("__again", F.col("__good") & again & F.lit(dedupe))
     # second pass, over what stands
     offers = (F.col("relation") == "OFFERS") & (F.col("object_type") == "Offering") & F.col("__good") & ~F.col("__again")

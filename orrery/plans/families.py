@@ -37,12 +37,14 @@ def _having(g: Graph, kind: str, value: str, mode: str) -> DataFrame:
         rows = g.serves.where(F.col("customer_type") == value)
     elif kind == "channel":
         rows = g.sells.where(F.col("channel") == value)
+    elif kind == "offering" and mode == "direct":
+        rows = g.roots.where(F.col("offering") == value)
+    elif kind == "offering":
+        named = [g.roots.select("company", "offering"), *[g.child_offerings.select("company", F.col(c).alias("offering")) for c in ("parent", "child")]]
+        rows = g.segments_over(reduce(DataFrame.unionByName, named).where(F.col("offering") == value).distinct())
     else:
-        rows = g.roots if mode == "direct" else g.segment_closure()
-        if kind == "offering":
-            rows = rows.where(F.col("offering") == value)
-        else:
-            rows = rows.join(g.monetizes.where(F.col("revenue_model") == value), ["company", "offering"], "left_semi")
+        paid = g.monetizes.where(F.col("revenue_model") == value).select("company", "offering")
+        rows = g.roots.join(paid, ["company", "offering"], "left_semi") if mode == "direct" else g.segments_over(paid.distinct())
     return rows.select(*SEGMENT)
 
 
@@ -73,8 +75,7 @@ def _placed(g: Graph, plan: Plan, rows: DataFrame) -> DataFrame:
 def _descendants(g: Graph, plan: Plan) -> DataFrame:
     roots = _within(g.roots, "company", plan.companies).where(F.col("offering").isin(*plan.offerings))
     asked = roots.select("company", F.col("offering").alias("root")).distinct()
-    below = g.segment_closure().select("company", "root", "offering").distinct()
-    return below.join(asked, ["company", "root"], "left_semi").select("company", "offering")
+    return g.below(asked).select("company", "offering")
 
 
 def _descendant_revenue(g: Graph, plan: Plan) -> DataFrame:

@@ -127,7 +127,7 @@ def label_keys(kind: str, labels: Mapping[str, Iterable[str]] | None = None) ->
     if labels is not None:
         return {label.casefold(): label for label in labels[kind]}
     keys = {label.casefold(): label for label in CANONICAL_LABELS[kind]}
-    return keys | {other.casefold(): label for label, others in LABEL_ALIASES[kind].items() for other in others}
+    return keys | {other.casefold(): label for other, label in LABEL_ALIASES[kind].items()}
 
 
 def _labels(values: Iterable[str], kind: str, labels: Mapping[str, Iterable[str]] | None) -> tuple[str, ...]:

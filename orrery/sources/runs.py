@@ -25,34 +25,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _replace(spark: SparkSession, staged: str, path: str) -> None:
+    """Put ``staged`` in the place of ``path``: what is there steps aside first and goes last, and
+    comes back if the staged folder can't be moved, which then stays as well."""
+    new, fs = _fs(spark, staged)
+    here, _ = _fs(spark, path)
+    aside, _ = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    fs.mkdirs(here.getParent())
+    had = fs.exists(here)
+    if had and not fs.rename(here, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, here):
+        if had:
+            fs.rename(aside, here)
+        raise OSError(f"{staged} could not be moved to {path}")
+    if had:
+        fs.delete(aside, True)
+
+
 def swap_in(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """``write`` a folder beside ``path``, then put it in its place; a failure leaves ``path`` as it was."""
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:8]}"
     try:
         write(staged)
-        new, fs = _fs(spark, staged)
-        old, _ = _fs(spark, path)
-        if fs.exists(old):
-            fs.delete(old, True)
-        else:
-            fs.mkdirs(old.getParent())
-        if not fs.rename(new, old):
-            raise OSError(f"{staged} could not be moved to {path}")
     except BaseException:
         delete_path(spark, staged)
         raise
+    _replace(spark, staged, path)
 
 
 def finish_run(spark: SparkSession, staged: str, root: str, token: str, succeeded: bool, latest: bool = True) -> str:
     """Move a staged run to ``latest`` (what was there goes), to ``runs/token`` or to ``failed/token``."""
     where = f"{root}/failed/{token}" if not succeeded else f"{root}/latest" if latest else f"{root}/runs/{token}"
-    new, fs = _fs(spark, staged)
-    old, _ = _fs(spark, where)
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.mkdirs(old.getParent())
-    if not fs.rename(new, old):
-        raise OSError(f"{staged} could not be moved to {where}")
+    _replace(spark, staged, where)
     return where
 
 

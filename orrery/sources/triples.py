@@ -142,10 +142,12 @@ def company_states(files: DataFrame) -> DataFrame:
 def load_runs(spark: SparkSession, files: DataFrame, run: str = "latest") -> DataFrame:
     """Triples of each run: its resolved ones, else the valid ones of its report."""
     wanted = files.where((F.col("run") == run) & F.col("artefact").isin("resolved_triples.json", "validation_report.json"))
-    paths = [r["path"] for r in wanted.select("path").limit(100_000).collect()]
-    if not paths:
+    first, last = wanted.agg(F.min("path"), F.max("path")).first()
+    if first is None:
         raise FileNotFoundError("no runs")
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    # the folder above them all is read as whole texts, whatever the number of runs; no list of paths is made
+    above = posixpath.commonprefix([first, last]).rpartition("/")[0]
+    texts = spark.read.text(above, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("path"), "value")
     best = wanted.join(texts, "path").groupBy("slug", "pipeline").agg(F.min_by("value", "artefact").alias("value"))
     rows = best.select("slug", "pipeline", F.posexplode(payload_triples(F.try_parse_json("value"))).alias("idx", "t"))
     return rows.select("slug", "pipeline", "idx", "t.*")
