@@ -26,14 +26,14 @@ from orrery.llm.common import beside_text, lanes, mix64, text_chunks, utf8, word
 from orrery.llm.labelled import logistic, sample
 
 #: Labelled texts that the network is fitted on, at most: clean ones, toxic ones.
-PER_CLASS = (1600, 1600)
+PER_CLASS = (1000, 400)
 MODULUS, REMAINDER = 4, 2
 THRESHOLD = 0.3
 WINDOW, STRIDE = 16, 8
 WORD_DIM, CHAR_DIM, CHAR_ROWS, HIDDEN, ATTEND = 8, 4, 1 << 16, 8, 8
 #: Windows that one numpy step works on: of scoring, of training. Passes over the training windows
 #: and the least number of steps that they take together; parts that in turn place the curve.
-BATCH, STEP, EPOCHS, STEPS, FOLDS = 4096, 512, 10, 240, 2
+BATCH, STEP, EPOCHS, STEPS, FOLDS = 4096, 512, 6, 200, 2
 #: Bytes of the beginnings of words that may tell toxic texts.
 STEMS = (5, 7)
 
