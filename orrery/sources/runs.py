@@ -35,10 +35,13 @@ def _replace(spark: SparkSession, staged: str, path: str) -> None:
     had = fs.exists(here)
     if had and not fs.rename(here, aside):
         raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(new, here):
+    try:
+        if not fs.rename(new, here):
+            raise OSError(f"{staged} could not be moved to {path}")
+    except BaseException:
         if had:
             fs.rename(aside, here)
-        raise OSError(f"{staged} could not be moved to {path}")
+        raise
     if had:
         fs.delete(aside, True)
 
