@@ -247,6 +247,11 @@ def resampled(rows: DataFrame, by: list[str], draws: DataFrame) -> DataFrame:
     return aggregate(placed.join(draws, "position"), [*by, "sample"])
 
 
+def scopes(rows: DataFrame, left_out: str) -> DataFrame:
+    """``rows`` in two scopes: ``all`` companies, and those ``without`` one of them."""
+    return rows.withColumn("scope", F.lit("all")).unionByName(rows.where(F.col("company") != left_out).withColumn("scope", F.lit("without")))
+
+
 def intervals(samples: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Mean and central 95 % of each metric over the draws, percentiles interpolated."""
     columns = []
@@ -290,6 +295,12 @@ def agreement(edges: DataFrame, by: list[str]) -> DataFrame:
     return means.join(support(edges, by, len(people)), by)
 
 
+def reliability(edges: DataFrame) -> DataFrame:
+    """``agreement`` of each relation, and of ``all`` of them together, where an edge has its relation in its key."""
+    keyed_ = edges.select(F.col("relation").cast("string").alias("relation"), "annotator", F.concat_ws(":", F.col("relation").cast("string"), F.col("edge").cast("string")).alias("edge"))
+    return agreement(keyed_.unionByName(keyed_.withColumn("relation", F.lit("all"))), ["relation"])
+
+
 def annotators(edges: DataFrame, limit: int = 1000) -> list[str]:
     """Names of the annotators: people, so few."""
     names = sorted(r["annotator"] for r in edges.select("annotator").where("annotator is not null").distinct().limit(limit + 1).collect())

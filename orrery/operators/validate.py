@@ -210,3 +210,13 @@ def merge_relations(base: DataFrame, subset: DataFrame, relations: list[str]) ->
     both = base.where(~F.col("relation").isin(*relations)).withColumn("__part", F.lit(0)).unionByName(subset.where(F.col("relation").isin(*relations)).withColumn("__part", F.lit(1)))
     first = F.row_number().over(Window.partitionBy(*FIELDS).orderBy("__part", "idx"))
     return both.withColumn("__n", first).where("__n = 1").drop("__n", "__part")
+
+
+def last_good(before: DataFrame, after: DataFrame, batch: list[str]) -> DataFrame:
+    """Triples of ``after``, and of ``before`` for the batches of which ``after`` has none."""
+    return after.unionByName(before.join(after.select(*batch).distinct(), batch, "left_anti"))
+
+
+def sort_triples(triples: DataFrame) -> DataFrame:
+    """Ordered by subject, its type, relation, object, its type."""
+    return triples.orderBy(*FIELDS)

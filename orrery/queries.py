@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery import projection
+from orrery import projection, storage
 from orrery.functions import text
 from orrery.operators import evaluate, prepare, router, validate
 from orrery.operators import graph as graphs
@@ -414,6 +414,23 @@ _MARKS = """WITH marks AS (
 e AS (SELECT DISTINCT relation, annotator, edge FROM marks WHERE annotator IS NOT NULL)"""
 
 
+@query(_SIDES + """, scoped AS (SELECT 'all' AS scope, * FROM scored UNION ALL SELECT 'without' AS scope, * FROM scored WHERE company <> 'Supplier#000000001'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY company) - 1 AS position FROM scoped), sizes AS (SELECT scope, count(*) AS n FROM scoped GROUP BY scope),
+draws AS (SELECT scope, a.range AS sample, ('0x' || substr(md5(a.range || ':' || b.range), 1, 8))::BIGINT % n AS position FROM sizes, range(100) a, range((SELECT max(n) FROM sizes)) b WHERE b.range < n),
+samples AS (SELECT scope, sample, sum(true_positives) AS tp, sum(false_positives) AS fp, sum(false_negatives) AS fn FROM draws JOIN placed USING (scope, position) GROUP BY scope, sample),
+f AS (SELECT scope, tp / (tp + fp) AS precision FROM samples)
+SELECT scope, round(avg(precision), 9) AS precision_mean, round(quantile_cont(precision, 0.025::DOUBLE), 9) AS precision_low, round(quantile_cont(precision, 0.975::DOUBLE), 9) AS precision_high FROM f GROUP BY scope""")
+def bootstrap_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = storage.materialize(evaluate.scopes(evaluate.exact(*_sides(spark, sf_dir), ["company"]), "Supplier#000000001"), "scopes")
+    parts = []
+    for scope in ("all", "without"):
+        own = rows.where(F.col("scope") == scope)
+        draws = evaluate.hashed_draws(spark, own.count(), 100)
+        parts.append(evaluate.intervals(evaluate.resampled(own, ["scope"], draws), ["scope"], ["precision"]))
+    out = parts[0].unionByName(parts[1])
+    return _rounded(out, *[c for c in out.columns if c != "scope"])
+
+
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = F.col("quality"), F.col("toxic")
     who = F.array(F.when(q == 1, "a"), F.when(t == 0, "b"), F.when(q + t >= 1, "c"))
@@ -430,6 +447,17 @@ def agreement_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("relation", "average_pairwise_jaccard", "average_pairwise_f1"), "average_pairwise_jaccard", "average_pairwise_f1")
 
 
+@query(_MARKS + """, every AS (SELECT relation::VARCHAR AS relation, annotator, relation || ':' || edge AS edge FROM e UNION ALL SELECT 'all', annotator, relation || ':' || edge FROM e),
+n AS (SELECT relation, annotator, count(*) AS n FROM every GROUP BY 1, 2),
+shared AS (SELECT x.relation, x.annotator AS a, y.annotator AS b, count(*) AS k FROM every x JOIN every y ON x.relation = y.relation AND x.edge = y.edge AND x.annotator < y.annotator GROUP BY 1, 2, 3),
+pair AS (SELECT x.relation, x.n AS na, y.n AS nb, coalesce(k, 0) AS k FROM n x JOIN n y ON x.relation = y.relation AND x.annotator < y.annotator
+  LEFT JOIN shared s ON s.relation = x.relation AND s.a = x.annotator AND s.b = y.annotator)
+SELECT relation, round(avg(k / (na + nb - k)), 9) AS average_pairwise_jaccard, round(avg(2 * k / (na + nb)), 9) AS average_pairwise_f1 FROM pair GROUP BY relation""")
+def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.reliability(_marks(spark, sf_dir))
+    return _rounded(out.select("relation", "average_pairwise_jaccard", "average_pairwise_f1"), "average_pairwise_jaccard", "average_pairwise_f1")
+
+
 @query(_MARKS + """, per AS (SELECT relation, edge, count(*) AS k FROM e GROUP BY 1, 2)
 SELECT relation, count(*) AS candidate_edges, count(*) FILTER (k = 3) AS unanimous, count(*) FILTER (k = 2) AS majority_only, count(*) FILTER (k = 1) AS single_annotator,
   round(count(*) FILTER (k = 3) / count(*), 9) AS all_way_jaccard FROM per GROUP BY relation""")
