@@ -7,6 +7,7 @@ for names that are not ASCII.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def clean_name(c: Column, evaluator: bool = False) -> Column:
     """Compatibility-normalised, without quotes around, white space collapsed.
 
@@ -69,24 +75,27 @@ def compact_key(c: Column) -> Column:
 def company_alias_key(c: Column) -> Column:
     """Key without corporate suffixes; of a name that is all suffixes, its compact key less one."""
     bare = F.transform(F.split(canonical_key(c, True), " "), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    named = F.array_join(F.filter(bare, lambda t: (t != "") & ~t.isin(*CORPORATE_SUFFIXES)), "")
-    compact = compact_key(c)
-    less = reduce(
-        lambda rest, s: F.when(F.endswith(compact, F.lit(s)) & (F.length(compact) > len(s) + 3), F.substring(compact, F.lit(1), F.length(compact) - len(s))).otherwise(rest),
-        reversed(CORPORATE_SUFFIXES),
-        compact,
-    )
-    return F.when(named != "", named).otherwise(less)
+
+    def less(compact: Column) -> Column:
+        shorter = [F.when(F.endswith(compact, F.lit(s)) & (F.length(compact) > len(s) + 3), F.substring(compact, F.lit(1), F.length(compact) - len(s))) for s in CORPORATE_SUFFIXES]
+        return F.coalesce(*shorter, compact)
+
+    def key(tokens: Column) -> Column:
+        named = F.array_join(F.filter(tokens, lambda t: (t != "") & ~t.isin(*CORPORATE_SUFFIXES)), "")
+        return F.coalesce(F.nullif(named, F.lit("")), let(F.array_join(tokens, ""), less))
+
+    return let(bare, key)
 
 
 def alias_keys_compatible(a: Column, b: Column) -> Column:
     """Whether two alias keys may name one company: equal, or the shorter (5 at least) begins the longer."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    return (a != "") & (b != "") & ((a == b) | ((F.length(short) >= 5) & F.startswith(long, short)))
+    begins = lambda long, short: (F.length(short) >= 5) & F.startswith(long, short)
+    return (a != "") & (b != "") & ((a == b) | begins(a, b) | begins(b, a))
 
 
 def companies_compatible(a: Column, b: Column) -> Column:
-    return alias_keys_compatible(company_alias_key(a), company_alias_key(b))
+    keys = F.struct(company_alias_key(a).alias("a"), company_alias_key(b).alias("b"))
+    return let(keys, lambda k: alias_keys_compatible(k["a"], k["b"]))
 
 
 def values_match(a: Column, a_type: Column, b: Column, b_type: Column) -> Column:

@@ -7,6 +7,7 @@ partitioned by relation, so that a query reads the relations that it walks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -122,6 +123,16 @@ class Graph:
         alone = roots.join(closure.where("depth = 0").select("company", "root"), ["company", "root"], "left_anti")
         return below.unionByName(alone.withColumn("offering", F.col("root")))
 
+    def owners(self, label: str = "Offering", names: list[str] | None = None) -> DataFrame:
+        """``name, company`` of scoped nodes, in order: a name of several companies is ambiguous."""
+        rows = self.nodes.where((F.col("label") == label) & (F.col("scope") != ""))
+        rows = rows if names is None else rows.where(F.col("name").isin(*names))
+        return rows.select("name", F.col("scope").alias("company")).distinct().orderBy("name", "company")
+
+    def collisions(self, label: str = "Offering") -> DataFrame:
+        """``name, companies``: names that more than one company has."""
+        return self.owners(label).groupBy("name").agg(F.count("*").alias("companies")).where("companies > 1")
+
     # ------------------------------------------------ counts
 
     def counts(self) -> DataFrame:
@@ -183,12 +194,40 @@ class Graph:
         before, counts = self.unload(company)
         return before.load(triples, company), counts
 
+    def load_each(self, targets: Mapping[str, Callable[[], DataFrame]]) -> tuple[Graph, DataFrame]:
+        """Every company's triples in place of what it had; a company that fails is left as it was.
+
+        ``targets`` gives each company's triples when called. The report has ``company, loaded_rows,
+        error``. Its triples are written in the shared folder first, so that their errors show here.
+        """
+        spark, graph, report = self.edges.sparkSession, self, []
+        for company, read_triples in targets.items():
+            try:
+                triples = storage.materialize(read_triples(), "target")
+                graph, _ = graph.replace_company(triples, company)
+                edges = storage.materialize(graph.edges, "edges")
+                loaded = storage.materialize(graph.loaded, "loaded")
+                graph = replace(graph, edges=edges, loaded=loaded)
+                report.append((company, triples.where(of_ontology()).count(), None))
+            except Exception as failure:  # whatever a company's files hold, the others are loaded
+                report.append((company, 0, str(failure)))
+        return graph, spark.createDataFrame(report, "company string, loaded_rows long, error string")
+
     # ------------------------------------------------ storage
 
     def write(self, path: str) -> None:
-        """Edges partitioned by relation, and the loaded companies, beside each other."""
-        self.edges.repartition("rel", "src_scope").sortWithinPartitions("rel", "src_scope", "src_name").write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
-        self.loaded.write.mode("overwrite").parquet(f"{path}/loaded")
+        """Edges partitioned by relation, and the loaded companies, beside each other.
+
+        Both are written aside and put in place together: a failure leaves what was there, and the
+        graph may be one that was read from ``path``.
+        """
+        from orrery.sources.runs import swap_in
+
+        def tables(staged: str) -> None:
+            self.edges.repartition("rel", "src_scope").sortWithinPartitions("rel", "src_scope", "src_name").write.partitionBy("rel").parquet(f"{staged}/edges")
+            self.loaded.write.parquet(f"{staged}/loaded")
+
+        swap_in(self.edges.sparkSession, path, tables)
 
 
 def _one(spark: SparkSession, company: str) -> DataFrame:
@@ -204,12 +243,30 @@ def read(spark: SparkSession, path: str, places: Places | None = None) -> Graph:
     return Graph(spark.read.parquet(f"{path}/edges").select(*EDGE), spark.read.parquet(f"{path}/loaded"), places, places.dimension(spark) if places else None)
 
 
+def of_ontology() -> Column:
+    return F.col("subject_type").isin(*NODE_TYPES) & F.col("object_type").isin(*NODE_TYPES) & F.col("relation").isin(*RELATIONS)
+
+
+def loaded_rows(triples: DataFrame) -> DataFrame:
+    """``company, loaded_rows``: triples that a load takes in, repeated ones counted."""
+    return triples.groupBy(F.col("company_name").alias("company")).agg(F.count_if(of_ontology()).alias("loaded_rows"))
+
+
+def unload_total(counts: Mapping[str, int]) -> int:
+    """All that an unload took away."""
+    return sum(counts.values())
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Delete a written graph."""
+    storage.delete_path(spark, path)
+
+
 def build_edges(triples: DataFrame, company: str | None = None) -> DataFrame:
     """Distinct edges of triples whose types and relation the ontology has; others are skipped."""
     owner = F.lit(company) if company is not None else F.col("company_name")
-    ok = F.col("subject_type").isin(*NODE_TYPES) & F.col("object_type").isin(*NODE_TYPES) & F.col("relation").isin(*RELATIONS)
     return (
-        triples.where(ok)
+        triples.where(of_ontology())
         .select(
             F.col("relation").alias("rel"),
             F.col("subject_type").alias("src_label"),

@@ -48,6 +48,25 @@ def planner_rows(rows: DataFrame, augmentation: DataFrame | None = None) -> Data
     return out.unionByName(augmentation.where(F.col("route_label") == LOCAL).withColumn("split", F.lit("train")), allowMissingColumns=True)
 
 
+def row_graphs(rows: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Planner rows with the synthetic graphs they were made from: ``row_id, place, graph_id, found`` and
+    the graphs' other columns, one row for each of ``source_graph_ids``, which keep their order.
+
+    ``found`` is false for an id that no graph has; a row without ids has one line, of a null id.
+    """
+    ids = rows.select("row_id", F.posexplode_outer("source_graph_ids").alias("place", "graph_id"))
+    return ids.join(graphs.withColumn("found", F.lit(True)), "graph_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def graph_errors(rows: DataFrame, graphs: DataFrame) -> DataFrame:
+    """``row_id, error`` of planner rows that name no graph, or graphs that there are not."""
+    lost = row_graphs(rows, graphs.select("graph_id").distinct()).where("not found")
+    listed = F.array_sort(F.collect_list(F.when(F.col("graph_id").isNotNull(), F.struct("place", "graph_id"))))
+    unknown = F.array_join(F.transform(listed, lambda x: x["graph_id"]), ", ")
+    per = lost.groupBy("row_id").agg(unknown.alias("ids"))
+    return per.select("row_id", F.when(F.col("ids") == "", "no source graphs").otherwise(F.concat(F.lit("unknown graphs: "), "ids")).alias("error"))
+
+
 def chat_messages(system: Column, question: Column, answer: Column) -> Column:
     """``[{role, content}]`` of one training example."""
     return F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", system), ("user", question), ("assistant", answer))])

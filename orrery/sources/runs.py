@@ -72,6 +72,11 @@ def status_report(states: DataFrame, loaded: DataFrame) -> DataFrame:
     return out.select("company", F.coalesce("o", F.lit(False)).alias("has_outputs"), F.coalesce("l", F.lit(False)).alias("is_loaded"))
 
 
+def health_summary(checks: DataFrame) -> DataFrame:
+    """``ok, warn, fail``: how many checks have each ``status``."""
+    return checks.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warn", "fail")])
+
+
 def company_name(summary_name: Column, source_stem: Column, slug: Column) -> Column:
     """A run's company: its summary's, else the source file's, else the folder's."""
     from orrery.functions.text import company_from_stem, title

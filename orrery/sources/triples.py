@@ -53,8 +53,14 @@ def company_of_path(path: Column, gold: bool = False) -> Column:
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
     """Whole texts with their counts of characters and words."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    words = F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(text.strip(F.col("text")), r"(?U)\s+")))
-    return files.withColumn("character_count", F.length("text")).withColumn("word_count", words)
+    return with_counts(files)
+
+
+def with_counts(filings: DataFrame) -> DataFrame:
+    """Adds ``character_count, word_count`` of ``text``; white space of any script parts words."""
+    stripped = text.strip(F.col("text"))
+    words = F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, r"(?U)\s+")))
+    return filings.withColumn("character_count", F.length("text")).withColumn("word_count", words)
 
 
 # ---------------------------------------------------------------- payload texts
@@ -126,7 +132,11 @@ _RUN = r"/([^/]+)/([^/]+)/(latest|runs/[^/]+|failed/[^/]+)/([^/]+\.json)$"
 
 def run_files(spark: SparkSession, root: str) -> DataFrame:
     """``slug, pipeline, run, token, artefact, path`` of every run's JSON files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root).select("path")
+    return run_parts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root).select("path"))
+
+
+def run_parts(files: DataFrame) -> DataFrame:
+    """The parts of ``path``, of files that belong to a run; ``token`` is null for the latest one."""
     part = lambda n: F.regexp_extract("path", _RUN, n)
     run = part(3)
     token = F.when(F.contains(run, F.lit("/")), F.substring_index(run, "/", -1))
@@ -139,6 +149,21 @@ def company_states(files: DataFrame) -> DataFrame:
     return files.groupBy("slug", "pipeline").agg(F.bool_or(F.col("run") == "latest").alias("latest_available"), tokens("runs").alias("available_run_tokens"), tokens("failed").alias("failed_run_tokens"))
 
 
+def load_targets(files: DataFrame, pipeline: str, slug: str | None = None, run: str | None = None) -> DataFrame:
+    """Files to load: one company's run, ``latest`` unless named otherwise, or the latest of all companies.
+
+    A run is named by ``latest``, ``runs/token``, ``failed/token``, or its token alone.
+    """
+    if slug is None and run is not None:
+        raise ValueError("a run is chosen for one company")
+    mine = files.where(F.col("pipeline") == pipeline)
+    if slug is None:
+        return mine.where("run = 'latest'")
+    wanted = run or "latest"
+    named = F.concat_ws("/", "run", "token")
+    return mine.where((F.col("slug") == slug) & ((named == wanted) | (F.col("token") == wanted)))
+
+
 def load_runs(spark: SparkSession, files: DataFrame, run: str = "latest") -> DataFrame:
     """Triples of each run: its resolved ones, else the valid ones of its report."""
     wanted = files.where((F.col("run") == run) & F.col("artefact").isin("resolved_triples.json", "validation_report.json"))
@@ -167,6 +192,16 @@ def pair_evaluations(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("prediction_path").isNull(), "missing_prediction").otherwise("evaluated"))
 
 
+def find_gold(golds: DataFrame, slug: str) -> tuple[str, str]:
+    """``path, split`` of the one gold file of a company; none, or files in several splits, are errors."""
+    found = golds.where(F.col("slug") == slug).select("path", "split").orderBy("split").limit(2).collect()
+    if not found:
+        raise FileNotFoundError(f"no gold file of {slug}")
+    if len(found) > 1:
+        raise ValueError(f"{slug} has gold files in several splits: {', '.join(r['split'] for r in found)}")
+    return found[0]["path"], found[0]["split"]
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """JSON lines; Spark commits the folder as a whole."""
     df.write.mode("overwrite").json(path)
